@@ -8,7 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 from .exact_dedup import exact_groups
+from .mixing import taken_words
 from .quality_rules import STOP_WORDS, apply_rules
+from .simhash import fingerprint_groups
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_groups(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken_words(documents(spark, sf_dir))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +31,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_simhash": op6_simhash,
+    "op7_mixing": op7_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_exact_dedup": op10_exact_dedup,
 }
