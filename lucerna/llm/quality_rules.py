@@ -29,23 +29,45 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class Rule:
-    """``measure`` must be at least ``least`` and at most ``most``; None: no bound."""
+    """``measure`` must be at least ``least`` and at most ``most`` (None: no bound) in texts of ``from_words`` or more."""
 
     measure: str
     least: float | None = None
     most: float | None = None
+    from_words: int = 0
 
 
 #: Verdict of the method, over the measures named in ``ratios``.
 RULES = (
     Rule("words", least=10),
-    Rule("mean_word_chars", least=2.0, most=25.0),
-    Rule("symbol_ratio", most=0.25),
-    Rule("stop_word_ratio", least=0.005),
+    Rule("mean_word_chars", least=2.0, most=15.0),
+    Rule("symbol_ratio", most=0.05),
+    Rule("stop_word_ratio", least=0.03, from_words=50),  # a short text may have none by chance
     Rule("dup_line_ratio", most=0.5),
 )
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body, or a loop in it, uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def repeat_words(words: Column) -> Column:
+    """Words in five-word windows that occur twice or more in the array ``words``."""
+    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - 4), lambda i: F.xxhash64(F.slice(words, i, 5)))
+    # only a text with a repeated window pays for sorting its windows
+    some = lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), _let(F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), _covered)).otherwise(F.lit(0))
+    return F.when(F.size(words) >= 5, _let(hashes, some)).otherwise(F.lit(0)).cast("long")
+
+
+def _covered(pairs: Column) -> Column:
+    """Words covered by the repeated ones of the sorted windows (hash, place)."""
+    same = lambda x, i: F.coalesce(x["h"] == F.get(pairs, i)["h"], F.lit(False))
+    places = F.array_sort(F.transform(F.filter(pairs, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["i"]))
+    start = F.struct(F.lit(0).alias("n"), F.lit(-5).alias("last"))
+    return F.aggregate(places, start, lambda a, p: F.struct((a["n"] + F.least(F.lit(5), p - a["last"])).alias("n"), p.alias("last")), lambda a: a["n"])
+
+
 def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_stop_words and n_repeat_words (long)."""
     spaced = docs.withColumn("_q_text", text_or_empty(text_col))
@@ -53,25 +75,16 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "_q_words": F.filter(F.split("_q_text", SPACE_CLASS + "+"), lambda w: w != ""),
         "_q_lines": F.filter(F.split("_q_text", "\n"), lambda x: x.rlike(WORD_CLASS)),
     })
-    at = F.sequence(F.lit(1), F.size("_q_words") - 4)
-    hashed = split.withColumns({
+    counted = split.withColumns({
         "n_words": F.size("_q_words").cast("long"),
         "word_chars": F.length(F.array_join("_q_words", "")).cast("long"),
         "n_symbols": F.regexp_count("_q_text", F.lit(r"[#*$%&|<>]")).cast("long"),
         "n_lines": F.size("_q_lines").cast("long"),
         "n_dup_lines": (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long"),
         "n_stop_words": F.size(F.filter("_q_words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long"),
-        "_q_hash": F.when(F.size("_q_words") >= 5, F.transform(at, lambda i: F.xxhash64(F.slice("_q_words", i, 5)))),
+        "n_repeat_words": _let(F.col("_q_words"), repeat_words),
     })
-    # only a text with a repeated window pays for sorting its windows
-    repeats = F.size(F.array_distinct("_q_hash")) < F.size("_q_hash")
-    pairs = hashed.withColumn("_q_sorted", F.when(repeats, F.array_sort(F.transform("_q_hash", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    same = lambda x, i: x["h"] == F.get("_q_sorted", i)["h"]
-    places = pairs.withColumn("_q_places", F.array_sort(F.transform(F.filter("_q_sorted", lambda x, i: F.coalesce(same(x, i - 1), F.lit(False)) | F.coalesce(same(x, i + 1), F.lit(False))), lambda x: x["i"])))
-    start = F.struct(F.lit(0).alias("n"), F.lit(-5).alias("last"))
-    covered = F.aggregate("_q_places", start, lambda a, p: F.struct((a["n"] + F.least(F.lit(5), p - a["last"])).alias("n"), p.alias("last")), lambda a: a["n"])
-    counted = places.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
-    return counted.drop("_q_text", "_q_words", "_q_lines", "_q_hash", "_q_sorted", "_q_places")
+    return counted.drop("_q_text", "_q_words", "_q_lines")
 
 
 def ratios() -> dict[str, Column]:
@@ -90,7 +103,11 @@ def ratios() -> dict[str, Column]:
 def compile_rules(rules: tuple[Rule, ...] = RULES) -> Column:
     """One Boolean column: every rule of the table holds."""
     known = ratios()
-    tests = [known[r.measure] >= r.least for r in rules if r.least is not None] + [known[r.measure] <= r.most for r in rules if r.most is not None]
+    tests = []
+    for r in rules:
+        low = [known[r.measure] >= r.least] if r.least is not None else []
+        high = [known[r.measure] <= r.most] if r.most is not None else []
+        tests += [(F.col("n_words") < r.from_words) | test if r.from_words else test for test in low + high]
     return reduce(Column.__and__, tests, F.lit(True))
 
 
