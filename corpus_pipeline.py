@@ -1,12 +1,43 @@
-"""A corpus pipeline of five stages; each reads what the one before has written."""
+"""A corpus pipeline of five stages; each works on all that the one before has kept and written.
+
+Toxic documents go, of equal texts one stays, of near copies one stays, sources are mixed to their target weights
+(a document may come once or twice), and what is left is packed into length buckets and batches.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lucerna.llm.common import documents, materialise
+from lucerna.llm.exact_dedup import exact_dedup
+from lucerna.llm.mixing import mix_documents
+from lucerna.llm.packing import pack
+from lucerna.llm.simhash import near_dedup
+from lucerna.llm.toxicity import drop_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier (fitted on the labelled ones among them) calls toxic go."""
+    return drop_toxic(docs, documents(spark, sf_dir, "labels"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs)
+
 
-STAGES: list = []
+STAGES = [("toxicity", toxicity), ("exact dedup", exact), ("SimHash near-dedup", near), ("mixing", mixing), ("packing", packing)]
 
 #: The stages learn a model and iterate; SQL can't express them. Tests hold them against brute force.
 ORACLE_SQL = None
@@ -15,5 +46,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

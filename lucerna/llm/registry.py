@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat_format import formatted_digests
 from .common import documents
 from .exact_dedup import exact_groups
+from .lm_score import scored as lm_scored
 from .mixing import taken_words
 from .packing import packed
 from .quality_rules import STOP_WORDS, apply_rules
@@ -16,6 +17,10 @@ from .simhash import fingerprint_groups
 from .toxicity import scored
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scored(documents(spark, sf_dir))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatted_digests(documents(spark, sf_dir, "conversations"))
 
@@ -46,6 +51,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_score": op1_lm_score,
     "op3_chat_format": op3_chat_format,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
