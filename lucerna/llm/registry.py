@@ -13,6 +13,7 @@ from .lm_score import scored as lm_scored
 from .mixing import taken_words
 from .packing import packed
 from .quality_rules import STOP_WORDS, apply_rules
+from .secret_scan import found_secrets
 from .simhash import fingerprint_groups
 from .toxicity import scored
 
@@ -41,6 +42,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(documents(spark, sf_dir))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found_secrets(documents(spark, sf_dir))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return apply_rules(documents(spark, sf_dir).select("doc_id", "text")).select(*columns)
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
+    "op8_secret_scan": op8_secret_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_exact_dedup": op10_exact_dedup,
 }
