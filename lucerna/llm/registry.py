@@ -15,6 +15,7 @@ from .packing import packed
 from .quality_rules import STOP_WORDS, apply_rules
 from .secret_scan import found_secrets
 from .simhash import fingerprint_groups
+from .suffix_dedup import deduplicated
 from .toxicity import scored
 
 
@@ -22,6 +23,10 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scored(documents(spark, sf_dir))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated(documents(spark, sf_dir))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatted_digests(documents(spark, sf_dir, "conversations"))
 
@@ -57,6 +62,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_chat_format": op3_chat_format,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
