@@ -103,8 +103,21 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY, block_bytes: int = BLOCK
             for at in range(0, len(h), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(h[at : at + 100_000].view(np.int64)), pa.array(n[at : at + 100_000])], names=["h", "n"])
 
-    counts = docs.select("doc_id", "text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "h").limit(size).select("h").collect()
+    counts = materialise(docs.select("doc_id", "text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
+    # words by steps of frequency, 64 for each doubling: where does the vocabulary end?
+    step = F.floor(F.log2("n") * 64)
+    steps = {r["step"]: (r["words"], r["least"]) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect()}
+    above, last = 0, 0
+    for last in sorted(steps, reverse=True):
+        if above + steps[last][0] >= size:
+            break
+        above += steps[last][0]
+    near = counts.filter(step >= last)
+    words, least = steps.get(last, (1, 1))
+    if least < 64:  # rare words have one count a step, in order of hash: a slice of the hashes holds all that are needed
+        share = min(1.0, 1.2 * (size - above) / words + 2000 / words)
+        near = near.filter((step > last) | (F.col("h") <= min(2**63 - 1, int(-(2**63) + share * 2.0**64))))
+    top = near.orderBy(F.desc("n"), "h").limit(size).select("h").collect()
     return np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64))
 
 
