@@ -20,6 +20,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,9 @@ from .suffix_array import common_prefixes, suffix_array
 LENGTH = 200
 #: Different units of one anchor that meet in one suffix array, at most; beyond, windows are counted by hash.
 MAX_CLASS = 1500
+#: Bits of the filters of anchors, at most, and cells for each document in which anchors are counted.
+FILTER_BITS = 1 << 25
+CELLS_PER_DOC = 2048
 #: Numbered pieces in one suffix array, about.
 BATCH = 60_000
 
@@ -137,19 +141,35 @@ def text_units(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("_d_key", "text").mapInArrow(run, "_d_key long, h long, u long, place long")
 
 
+def _possible(every: DataFrame, n_docs: int) -> DataFrame:
+    """``every`` without units whose anchor certainly occurs once; ``mixed`` is false where all units of the anchor are
+    certainly the same.
+
+    Anchors are counted in cells of a hash. The outcome is folded into two Bloom filters of at most ``FILTER_BITS`` bits,
+    the only thing sent to all executors; where they are full, more units go on and the result stays the same.
+    """
+    cells = 1 << min(40, (max(1, n_docs) * CELLS_PER_DOC - 1).bit_length())
+    bits = min(cells, FILTER_BITS)
+    cell = F.col("h").bitwiseAND(F.lit(cells - 1).cast("long"))
+    part = F.col("u").bitwiseAND(F.lit((1 << 31) - 1).cast("long")).cast("int")
+    counted = every.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.min(part).alias("low"), F.max(part).alias("high")).filter("n > 1")
+    place = F.col("cell").bitwiseAND(F.lit(bits - 1).cast("long"))
+    bit = F.expr("shiftleft(1L, cast(cell & 63 as int))")
+    words = counted.groupBy(F.shiftright(place, 6).alias("_d_word")).agg(F.bit_or(bit).alias("often"), F.bit_or(F.when(F.col("low") < F.col("high"), bit).otherwise(0)).alias("differ"))
+    probed = every.withColumn("cell", cell).withColumn("_d_at", F.shiftright(place, 6)).join(F.broadcast(words), F.col("_d_at") == F.col("_d_word"))
+    return probed.filter((F.col("often").bitwiseAND(bit)) != 0).select("_d_key", "h", "u", "place", (F.col("differ").bitwiseAND(bit) != 0).alias("mixed"))
+
+
 def _found(docs: DataFrame, length: int) -> DataFrame:
-    """Units whose anchor occurs more than once: _d_key, h, u, place, whole (the unit does, too), role (of a unit to
-    be compared: 1, of an anchor with too many for one suffix array: 2, else 0)."""
-    every = text_units(docs, length)
-    each = every.groupBy("h", "u").agg(F.count("*").alias("n"), F.min(F.struct("_d_key", "place")).alias("one"))
-    anchors = each.groupBy("h").agg(F.sum("n").alias("total"), F.count("*").alias("units")).filter("total > 1")
-    # inverted keys: both sides are exchanged anew, so that Spark can split a hot anchor
-    kept = each.join(anchors.select(F.bitwise_not("h").alias("_d_h"), "units"), F.bitwise_not("h") == F.col("_d_h")).filter("n > 1 or units > 1")
-    kept = kept.select(F.bitwise_not("h").alias("_d_h"), F.bitwise_not("u").alias("_d_u"), "n", "units", "one")
-    joined = every.join(kept, (F.bitwise_not("h") == F.col("_d_h")) & (F.bitwise_not("u") == F.col("_d_u")))
-    first = (F.col("_d_key") == F.col("one._d_key")) & (F.col("place") == F.col("one.place"))
-    role = F.when((F.col("units") == 1) | ~first, 0).when(F.col("units") <= MAX_CLASS, 1).otherwise(2)
-    return joined.select("_d_key", "h", "place", (F.col("n") > 1).alias("whole"), role.alias("role"))
+    """Units that occur twice, and units to be compared: _d_key, place, whole (found whole elsewhere), h (of the anchor,
+    for the one copy of each unit that is compared with others of its anchor; else null)."""
+    every = _possible(text_units(docs, length), docs.count())
+    each = every.groupBy("h", "u").agg(F.count("*").alias("n"), F.min(F.struct("_d_key", "place")).alias("one"), F.first("mixed").alias("mixed")).filter("n > 1 or mixed")
+    # inverted keys: both sides are exchanged anew, so that Spark can split a hot unit
+    kept = each.select(F.bitwise_not("h").alias("_d_h"), F.bitwise_not("u").alias("_d_u"), "n", F.when(F.col("mixed"), F.col("one")).alias("one"))
+    joined = every.select("_d_key", "h", "u", "place").join(kept, (F.bitwise_not("h") == F.col("_d_h")) & (F.bitwise_not("u") == F.col("_d_u")))
+    chosen = (F.col("_d_key") == F.col("one._d_key")) & (F.col("place") == F.col("one.place"))
+    return joined.select("_d_key", "place", (F.col("n") > 1).alias("whole"), F.when(chosen, F.col("h")).alias("h"))
 
 
 def _runs(spans: Iterable[tuple[int, int]]) -> list[list[int]]:
@@ -173,36 +193,51 @@ def _result(raw: bytes, runs: list[list[int]]) -> tuple[int, int, int, str]:
     return len(raw), sum(b - a for a, b in runs), len(runs), kept.hexdigest()
 
 
-_JOINED = pa.schema([("doc_id", pa.int64()), ("_d_key", pa.int64()), ("text", pa.string()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64())), ("todo", pa.list_(pa.struct([("h", pa.int64()), ("place", pa.int64()), ("role", pa.int32())])))])
+_JOINED = pa.schema([("doc_id", pa.int64()), ("_d_key", pa.int64()), ("packed", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64())), ("todo", pa.list_(pa.struct([("h", pa.int64()), ("place", pa.int64())])))])
 _COMPARED = pa.schema([("_d_key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, _d_key and the bytes of the text, compressed: they are moved twice at most."""
+
+    def run(batches):
+        for batch in batches:
+            pack = zstandard.ZstdCompressor(level=3).compress
+            packed = [pack(_raw(t)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_d_key"), pa.array(packed, pa.binary())], names=["doc_id", "_d_key", "packed"])
+
+    return docs.select("doc_id", "_d_key", "text").mapInArrow(run, "doc_id long, _d_key long, packed binary")
+
+
+def _unpacked(packed: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed)
+
+
 def _first_round(docs: DataFrame, length: int) -> DataFrame:
     """Each document with its result, or (where units must be compared) with its text, sure spans and those units."""
-    found = _found(docs, length)
-    per_doc = found.groupBy("_d_key").agg(
+    per_doc = _found(docs, length).groupBy("_d_key").agg(
         F.collect_list(F.when(F.col("whole"), F.col("place"))).alias("whole"),
-        F.collect_list(F.when(F.col("role") > 0, F.struct("h", "place", "role"))).alias("todo"),
+        F.collect_list(F.when(F.col("h").isNotNull(), F.struct("h", "place"))).alias("todo"),
     )
-    both = docs.join(per_doc, "_d_key", "left").select("doc_id", "_d_key", "text", "whole", "todo")
+    both = _packed(docs).join(per_doc, "_d_key", "left").select("doc_id", "_d_key", "packed", "whole", "todo")
 
     def run(batches):
         def rows():
             for batch in batches:
                 for r in batch.to_pylist():
-                    raw, sure = _raw(r["text"]), []
+                    raw, sure = _unpacked(r["packed"]), []
                     for place in r["whole"] or ():
                         first, _, more = unpacked_place(place)
                         sure.append((first, first + more + length))
                     runs = _runs(sure)
                     if r["todo"]:
-                        yield r["doc_id"], r["_d_key"], r["text"], len(raw), None, None, None, [x for run in runs for x in run], r["todo"]
+                        yield r["doc_id"], r["_d_key"], r["packed"], len(raw), None, None, None, [x for run in runs for x in run], r["todo"]
                     else:
                         yield r["doc_id"], r["_d_key"], None, *_result(raw, runs), None, None
 
         return _batches(rows(), _JOINED, 500)
 
-    spec = "doc_id long, _d_key long, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, todo array<struct<h:long,place:long,role:int>>"
+    spec = "doc_id long, _d_key long, packed binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, todo array<struct<h:long,place:long>>"
     return materialise(both.mapInArrow(run, spec), "first-round")
 
 
@@ -213,21 +248,25 @@ def _compared(waiting: DataFrame, length: int) -> DataFrame:
         def rows():
             for batch in batches:
                 for r in batch.to_pylist():
-                    raw = _raw(r["text"])
+                    raw = _unpacked(r["packed"])
                     for t in r["todo"]:
                         first, anchor, more = unpacked_place(t["place"])
-                        yield r["_d_key"], t["h"], t["place"], t["role"], raw[first : first + more + length]
+                        yield r["_d_key"], t["h"], t["place"], raw[first : first + more + length]
 
-        return _batches(rows(), pa.schema([("_d_key", pa.int64()), ("h", pa.int64()), ("place", pa.int64()), ("role", pa.int32()), ("raw", pa.binary())]))
+        return _batches(rows(), pa.schema([("_d_key", pa.int64()), ("h", pa.int64()), ("place", pa.int64()), ("raw", pa.binary())]))
 
-    # a repeated row has the same key and the same units: one of them is enough
-    cuts = waiting.select("_d_key", "text", "todo").mapInArrow(cut, "_d_key long, h long, place long, role int, raw binary").dropDuplicates(["_d_key", "place"])
+    every = waiting.select("_d_key", "packed", "todo").mapInArrow(cut, "_d_key long, h long, place long, raw binary")
+    sizes = waiting.select(F.explode("todo.h").alias("h")).groupBy("h").count().filter("count > 1")
+    # inverted keys, as above; anchors with one unit only are left out
+    met = every.join(sizes.select(F.bitwise_not("h").alias("_d_h"), "count"), F.bitwise_not("h") == F.col("_d_h"))
+    cuts = met.select("_d_key", "h", "place", "raw", F.when(F.col("count") <= MAX_CLASS, 1).otherwise(2).alias("role"))
 
     def compare(batches):
         def classes():
             rows = (r for batch in batches for r in batch.to_pylist())
             for _, some in groupby(rows, key=lambda r: r["h"]):
-                some = list(some)
+                # a repeated row has the same key and the same units: one of them is enough
+                some = list({(r["_d_key"], r["place"]): r for r in some}.values())
                 if len(some) > 1:
                     yield some
 
@@ -265,7 +304,7 @@ def _compared(waiting: DataFrame, length: int) -> DataFrame:
 
         return _batches(rows(), pa.schema([("_d_key", pa.int64()), ("a", pa.int64()), ("w", pa.binary())]))
 
-    hashed = materialise(cuts.filter("role = 2").mapInArrow(windows, "_d_key long, a long, w binary"), "windows")
+    hashed = materialise(cuts.filter("role = 2").dropDuplicates(["_d_key", "place"]).mapInArrow(windows, "_d_key long, a long, w binary"), "windows")
     often = hashed.groupBy("w").count().filter("count > 1").select(F.hex("w").alias("_d_w"))
     by_hash = hashed.join(often, F.hex("w") == F.col("_d_w")).select("_d_key", "a", (F.col("a") + length).alias("b"))
     return by_array.unionAll(by_hash)
@@ -278,7 +317,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     first = _first_round(keyed, length)
     waiting = first.filter("todo is not null")
     added = _compared(waiting, length).groupBy("_d_key").agg(F.collect_list(F.struct("a", "b")).alias("added"))
-    both = waiting.select("doc_id", "_d_key", "text", "spans").join(added, "_d_key", "left").select("doc_id", "text", "spans", "added")
+    both = waiting.select("doc_id", "_d_key", "packed", "spans").join(added, "_d_key", "left").select("doc_id", "packed", "spans", "added")
 
     def finish(batches):
         def rows():
@@ -286,7 +325,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 for r in batch.to_pylist():
                     flat = r["spans"] or []
                     spans = [*zip(flat[::2], flat[1::2], strict=True), *((s["a"], s["b"]) for s in r["added"] or ())]
-                    yield r["doc_id"], *_result(_raw(r["text"]), _runs(spans))
+                    yield r["doc_id"], *_result(_unpacked(r["packed"]), _runs(spans))
 
         return _batches(rows(), pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
 
