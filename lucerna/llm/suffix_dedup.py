@@ -163,7 +163,7 @@ def _possible(every: DataFrame, n_docs: int) -> DataFrame:
 def _found(docs: DataFrame, length: int) -> DataFrame:
     """Units that occur twice, and units to be compared: _d_key, place, whole (found whole elsewhere), h (of the anchor,
     for the one copy of each unit that is compared with others of its anchor; else null)."""
-    every = _possible(text_units(docs, length), docs.count())
+    every = materialise(_possible(text_units(docs, length), docs.count()), "units")
     each = every.groupBy("h", "u").agg(F.count("*").alias("n"), F.min(F.struct("_d_key", "place")).alias("one"), F.first("mixed").alias("mixed")).filter("n > 1 or mixed")
     # inverted keys: both sides are exchanged anew, so that Spark can split a hot unit
     kept = each.select(F.bitwise_not("h").alias("_d_h"), F.bitwise_not("u").alias("_d_u"), "n", F.when(F.col("mixed"), F.col("one")).alias("one"))
