@@ -29,10 +29,11 @@ from .common import materialise
 
 VOCABULARY = 65_535
 BACKOFF = 0.4
-#: Bytes of text in a block, about.
-BLOCK_BYTES = 24_000_000
+#: Bytes that the words of a block take, about: eight each while words are counted, two each once they have numbers.
+BLOCK_BYTES = 5_000_000
+COUNT_BYTES = 12_000_000
 #: Bytes of text for each table of counts, about.
-PART_BYTES = 64_000_000
+PART_BYTES = 40_000_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -79,15 +80,15 @@ def _hash(raw: bytes) -> np.ndarray:
     return h ^ h >> np.uint64(32)
 
 
-def _blocks(batches, block_bytes: int) -> Iterator[tuple[list, list]]:
-    """Documents of a partition, in blocks: ids and word hashes."""
+def _blocks(batches, block_bytes: int, convert=word_hashes) -> Iterator[tuple[list, list]]:
+    """Documents of a partition, in blocks: ids and what ``convert`` makes of each text."""
     ids, words, held = [], [], 0
     for batch in batches:
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            w = word_hashes(text)
+            w = convert(text)
             ids.append(i)
             words.append(w)
-            held += 8 * len(w)
+            held += w.nbytes
             if held >= block_bytes:
                 yield ids, words
                 ids, words, held = [], [], 0
@@ -95,7 +96,7 @@ def _blocks(batches, block_bytes: int) -> Iterator[tuple[list, list]]:
         yield ids, words
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY, block_bytes: int = BLOCK_BYTES) -> np.ndarray:
+def vocabulary(docs: DataFrame, size: int = VOCABULARY, block_bytes: int = COUNT_BYTES) -> np.ndarray:
     """Hashes of the most frequent words, sorted; counted over all documents."""
     def count(batches):
         for _, words in _blocks(batches, block_bytes):
@@ -145,14 +146,21 @@ def _bigrams(tokens: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 EXPLODED = pa.schema([("block", pa.string()), ("part", pa.int32()), ("ids", pa.binary()), ("known", pa.binary()), ("lengths", pa.binary()), ("tokens", pa.binary()), ("grams", pa.binary()), ("counts", pa.binary())])
 
 
-def _dealt(tokens: np.ndarray, lengths: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A block's different bigrams in order of their table, their counts, where each table's begin, and each word's bigram."""
-    grams, back, counts = np.unique(_bigrams(tokens, _firsts(lengths)), return_inverse=True, return_counts=True)
+def _dealt(tokens: np.ndarray, lengths: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's different bigrams in order of their table, their counts, and where each table's begin."""
+    grams, counts = np.unique(_bigrams(tokens, _firsts(lengths)), return_counts=True)
     where = _part_of(grams, parts)
     order = np.argsort(where, kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    return grams[order], counts[order], np.searchsorted(where[order], np.arange(parts + 1)), place[back]
+    return grams[order], counts[order], np.searchsorted(where[order], np.arange(parts + 1))
+
+
+def _places(tokens: np.ndarray, lengths: np.ndarray, parts: int) -> np.ndarray:
+    """Where each word's bigram stands among what ``_dealt`` gives."""
+    grams, back = np.unique(_bigrams(tokens, _firsts(lengths)), return_inverse=True)
+    order = np.argsort(_part_of(grams, parts), kind="stable")
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    return place[back]
 
 
 def _firsts(lengths: np.ndarray) -> np.ndarray:
@@ -163,13 +171,13 @@ def exploded(docs: DataFrame, known: np.ndarray, parts: int, block_bytes: int =
     """Blocks of documents (part -1) and their different bigrams with counts, a row for each table they go to."""
 
     def explode(batches):
-        for ids, words in _blocks(batches, block_bytes):
+        for ids, words in _blocks(batches, block_bytes, lambda text: numbered(word_hashes(text), known).astype(np.uint16)):
             block = uuid.uuid4().hex
             lengths = np.array([len(w) for w in words], np.int64)
-            tokens = numbered(np.concatenate(words), known)
-            grams, counts, cuts, _ = _dealt(tokens, lengths, parts)
+            tokens = np.concatenate(words)
+            grams, counts, cuts = _dealt(tokens, lengths, parts)
             there = np.array([i is not None for i in ids], np.uint8)
-            rows = [(block, -1, np.array([i or 0 for i in ids], np.int64).tobytes(), there.tobytes(), lengths.tobytes(), tokens.astype(np.uint16).tobytes(), None, None)]
+            rows = [(block, -1, np.array([i or 0 for i in ids], np.int64).tobytes(), there.tobytes(), lengths.tobytes(), tokens.tobytes(), None, None)]
             rows += [(block, p, None, None, None, None, grams[a:b].tobytes(), counts[a:b].tobytes()) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
             for row in rows:
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, EXPLODED, strict=True)], schema=EXPLODED)
@@ -197,7 +205,7 @@ def _singles(batches):
 
 def scored(docs: DataFrame, size: int = VOCABULARY, backoff: float = BACKOFF, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, score (sum of log10), mean_score, n_backoff (words scored by backing off)."""
-    known = vocabulary(docs, size, block_bytes)
+    known = vocabulary(docs, size)
     total_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total_bytes // part_bytes))
     held = materialise(exploded(docs, known, parts, block_bytes), "ngrams")
@@ -212,7 +220,7 @@ def scored(docs: DataFrame, size: int = VOCABULARY, backoff: float = BACKOFF, bl
         block = mine.iloc[0]
         lengths, tokens = np.frombuffer(block["lengths"], np.int64), np.frombuffer(block["tokens"], np.uint16).astype(np.uint32)
         doc = np.repeat(np.arange(len(lengths)), lengths)
-        place = _dealt(tokens, lengths, parts)[3]
+        place = _places(tokens, lengths, parts)
         of_pair = totals[place] - own_counts(doc, place)
         first = np.zeros(len(tokens), bool)
         first[_firsts(lengths)] = True
@@ -236,6 +244,8 @@ def own_counts(doc: np.ndarray, what: np.ndarray) -> np.ndarray:
     """For each place, how often its document has the same value."""
     if not len(doc):
         return np.zeros(0, np.int64)
-    key = doc.astype(np.int64) * (int(what.max()) + 1) + what
+    key = doc.astype(np.int64)
+    key *= int(what.max()) + 1
+    key += what
     _, back, n = np.unique(key, return_inverse=True, return_counts=True)
     return n[back]
