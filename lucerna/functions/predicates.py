@@ -82,16 +82,19 @@ def conjunction(parts: list[Ucq]) -> Ucq:
 
 
 def rules_column(rules: Rules, schema: T.StructType) -> Column:
-    """1 where some rule holds, else 0; no rule: 0, an empty rule: 1. A condition on a missing value fails."""
+    """1 where some rule holds, else 0; no rule: 0, an empty rule: 1. A condition on a missing number fails.
+
+    A threshold on a text column is a string: codes are ranks of sorted values, so a bound on a code is one on the text.
+    """
     if not rules:
         return F.lit(0)
     if any(not r for r in rules):
         return F.lit(1)
 
-    def one(feature: str, threshold: float, op: str) -> Column:
+    def one(feature: str, threshold: float | str, op: str) -> Column:
         if feature not in schema.names:
             raise ValueError(f"unknown feature {feature!r}")
-        x = _quoted(feature).cast("double")
+        x = F.coalesce(_quoted(feature).cast("string"), F.lit("")) if isinstance(threshold, str) else _quoted(feature).cast("double")
         return x <= threshold if op == "<=" else x > threshold
 
     hit = reduce(Column.__or__, [reduce(Column.__and__, [one(*c) for c in r]) for r in rules])
@@ -109,4 +112,4 @@ def rules_text(rules: Rules) -> str:
         return "FALSE"
     if any(not r for r in rules):
         return "TRUE"
-    return " OR ".join("(" + " AND ".join(f"{f} {op} {t:g}" for f, t, op in r) + ")" for r in rules)
+    return " OR ".join("(" + " AND ".join(f"{f} {op} {t!r}" if isinstance(t, str) else f"{f} {op} {t:g}" for f, t, op in r) + ")" for r in rules)

@@ -66,8 +66,8 @@ class Predicate:
 #: OR of ANDs; no group, or any empty group, accepts every row.
 Ucq = list[list[Predicate]]
 
-#: One learned condition: (feature, threshold, "<=" or ">").
-Condition = tuple[str, float, str]
+#: One learned condition: (feature, threshold, "<=" or ">"); a text column has a text as threshold.
+Condition = tuple[str, float | str, str]
 #: OR of ANDs; no rule rejects every row, an empty rule accepts every row.
 Rules = list[list[Condition]]
 
