@@ -26,23 +26,24 @@ def _quoted(name: str) -> Column:
 
 
 def predicate(p: Predicate, schema: T.StructType) -> Column:
-    """A Boolean column that is never null."""
+    """A Boolean column that is never null, in a form that scans can take over (no function around the column)."""
     if p.field not in schema.names:
         raise ValueError(f"unknown field {p.field!r}")
     kind, c = schema[p.field].dataType, _quoted(p.field)
-    if isinstance(kind, (T.StringType, T.VarcharType, T.CharType)):
-        if p.op in ("==", "!="):
-            return _COMPARE[p.op](F.coalesce(c, F.lit("")), F.lit(str(p.value)))
-        return F.coalesce(_COMPARE[p.op](c, F.lit(str(p.value))), F.lit(False))
-    if isinstance(p.value, str) and not isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        if p.value == "" and p.op in ("==", "!="):
-            return c.isNull() if p.op == "==" else c.isNotNull()
-        value = F.lit(p.value).try_cast(kind)
-        c = _COMPARE[p.op](c, value)
-        return F.coalesce(c, F.lit(p.op == "!="))
-    if p.value == "":
-        return c.isNull() if p.op == "==" else c.isNotNull()
-    return F.coalesce(_COMPARE[p.op](c, F.lit(p.value)), F.lit(p.op == "!="))
+    text = isinstance(kind, (T.StringType, T.VarcharType, T.CharType))
+    if p.value == "" and isinstance(p.value, str) and p.op in ("==", "!="):
+        # "is missing" and "is present"; only a text can be empty as well
+        if p.op == "==":
+            return c.isNull() | (c == "") if text else c.isNull()
+        return c.isNotNull() & (c != "") if text else c.isNotNull()
+    timed = isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType))
+    value = F.lit(str(p.value)) if text else F.lit(p.value).try_cast(kind) if isinstance(p.value, str) and not timed else F.lit(p.value)
+    if p.op == "==":
+        return c.isNotNull() & F.coalesce(c == value, F.lit(False)) if isinstance(p.value, str) and not text else c.eqNullSafe(value)
+    test = _COMPARE[p.op](c, value)
+    if isinstance(p.value, str) and not text:  # a value that doesn't parse is equal to nothing, and in no range
+        test = F.coalesce(test, F.lit(p.op == "!="))
+    return c.isNull() | test if p.op == "!=" else c.isNotNull() & test
 
 
 def ucq(groups: Ucq, schema: T.StructType) -> Column:
@@ -94,11 +95,14 @@ def rules_column(rules: Rules, schema: T.StructType) -> Column:
     def one(feature: str, threshold: float | str, op: str) -> Column:
         if feature not in schema.names:
             raise ValueError(f"unknown feature {feature!r}")
-        x = F.coalesce(_quoted(feature).cast("string"), F.lit("")) if isinstance(threshold, str) else _quoted(feature).cast("double")
-        return x <= threshold if op == "<=" else x > threshold
+        c = _quoted(feature)
+        if isinstance(threshold, str):  # a missing text is the empty one, which is below any other
+            return c.isNull() | (c <= threshold) if op == "<=" else c.isNotNull() & (c > threshold)
+        x = c if isinstance(schema[feature].dataType, T.DoubleType) else c.cast("double")
+        return c.isNotNull() & (x <= threshold if op == "<=" else x > threshold)
 
     hit = reduce(Column.__or__, [reduce(Column.__and__, [one(*c) for c in r]) for r in rules])
-    return F.coalesce(hit, F.lit(False)).cast("int")
+    return hit.cast("int")
 
 
 def apply_rules(df: DataFrame, rules: Rules, name: str = "predicted") -> DataFrame:

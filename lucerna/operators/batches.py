@@ -22,7 +22,7 @@ def ladder(n: int, steps: tuple[float, ...]) -> list[int]:
     ends = [0]
     for s in steps:
         end = int(n * s)
-        ends.append(end if end > ends[-1] or len(ends) == 1 else ends[-1] + 1)
+        ends.append(max(end, ends[-1] + 1))
     if ends[-1] > n:
         raise ValueError(f"{len(steps)} batches don't fit in {n} rows")
     return [b - a for a, b in pairwise(ends)]

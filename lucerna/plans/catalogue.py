@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import apply_rules, expand, retrieve, ucq
 from ..functions.text import as_bool, items, map_items, one_line, serialised, without_comma
-from ..model import Kind, Predicate, TableRoles, semantic_feature
+from ..model import Config, Kind, Predicate, TableRoles, semantic_feature
 from ..operators import buckets as B
 from ..operators.batches import ladder, sample, shuffle_key, with_batches
 from ..operators.builders import concat_distinct, filled_quota, left_chain, pattern_argmax, quota_sample, top_groups
@@ -23,7 +23,10 @@ from ..operators.quality import quality_table, symmetric_difference, union_view
 from ..operators.rewrite import extract_rules
 from ..operators.sampling import stratified_table
 from ..operators.weights import class_balanced, sampling_weights, selectivity_table, weighted_loss_column
-from .lexicon import DERIVED, INSULTS, JUNK, TOXIC, backend, lexical_column, toxic_query
+from ..streaming.incremental import run_rounds
+from .drift import View, answer_by_rules
+from .engine import Engine
+from .lexicon import DERIVED, INSULTS, JUNK, JUNKY, TOXIC, backend, junk_query, lexical_column, toxic_again, toxic_and_junk, toxic_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -568,3 +571,60 @@ def x_daily_windows(spark, sf_dir):
     each = df.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return each.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n", "total")
 
+
+# -- whole engine -------------------------------------------------------------------------------------------------
+
+
+def demonstration_engine(spark: SparkSession, sf_dir: str, **settings) -> Engine:
+    """Semantic queries over the labelled documents, answered by the lexical backend."""
+    labels = table(spark, sf_dir, "labels")
+    docs = table(spark, sf_dir, "documents").join(labels.select("doc_id"), "doc_id", "left_semi")
+    truth = {"toxic": labels.filter("toxic = 1").select("doc_id"), "junk": labels.filter("quality = 0").select("doc_id")}
+    roles = TableRoles(base=("lang", "source", "n_chars"), ids=("doc_id",), payload=("text",))
+    queries = {"toxic": toxic_query(), "junk": junk_query()}
+    return Engine(docs, roles, queries, truth, backend(), "doc_id", Config(**settings))
+
+
+@query()
+def e_semantic_query(spark, sf_dir):
+    """A semantic query from end to end: labels, features, forest, rewrite; the answer is a plain filter."""
+    engine = demonstration_engine(spark, sf_dir)
+    state = engine.run_query("toxic", engine.partition())
+    return engine.answer("toxic", state)
+
+
+@query(f"SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE lang = 'en' AND text <> '' AND regexp_matches(lower(text), '{INSULTS}')")
+def e_without_rewrite(spark, sf_dir):
+    """The backend decides every row from its serialised columns."""
+    return demonstration_engine(spark, sf_dir).without_rewrite("toxic")
+
+
+def _toxic_view(spark, sf_dir) -> View:
+    """What an answered query leaves behind: its rows with their features; no rules were learned."""
+    rows = B.initialise(labelled(spark, sf_dir), toxic_query(), "toxic")
+    specs = [semantic_feature(TOXIC), semantic_feature(JUNKY)]
+    return View(toxic_query(), backend().extract(rows, specs), [], [specs[0].target])
+
+
+@query(f"SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE lang = 'en' AND text <> '' AND regexp_matches(lower(text), '{INSULTS}')")
+def d_reuse_view(spark, sf_dir):
+    view = _toxic_view(spark, sf_dir)
+    assert backend().relate(toxic_again(), view.query) == "same"
+    return answer_by_rules(view, view.effective_rules(), ["doc_id"])
+
+
+@query(f"SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE lang = 'en' AND text <> '' AND regexp_matches(lower(text), '{INSULTS}') AND regexp_matches(lower(text), '{JUNK}')")
+def d_contained(spark, sf_dir):
+    view, wanted = _toxic_view(spark, sf_dir), toxic_and_junk()
+    assert backend().relate(wanted, view.query) == "contained"
+    return answer_by_rules(view, backend().regenerate(wanted, view.rows.columns), ["doc_id"])
+
+
+@query()
+def i_rounds(spark, sf_dir):
+    """Batches after the first: certificates carried along, and whether to learn anew."""
+    engine = demonstration_engine(spark, sf_dir, dynamic_setting=(0.6, 0.8, 1.0))
+    state = engine.run_query("toxic", engine.partition().persist(), True)
+    run_rounds(engine, state)
+    keep = ("batch", "candidates", "data_error", "prediction_error", "bound", "smoothed", "threshold", "f1")
+    return spark.createDataFrame([tuple(r[k] for k in keep) for r in state.rounds], "batch int, candidates long, data_error double, prediction_error double, bound double, smoothed double, threshold double, f1 double")
