@@ -30,8 +30,8 @@ from .common import materialise
 VOCABULARY = 65_535
 BACKOFF = 0.4
 #: Bytes that the words of a block take, about: eight each while words are counted, two each once they have numbers.
-BLOCK_BYTES = 5_000_000
-COUNT_BYTES = 12_000_000
+BLOCK_BYTES = 2_000_000
+COUNT_BYTES = 8_000_000
 #: Bytes of text for each table of counts, about.
 PART_BYTES = 40_000_000
 
@@ -92,8 +92,10 @@ def _blocks(batches, block_bytes: int, convert=word_hashes) -> Iterator[tuple[li
             if held >= block_bytes:
                 yield ids, words
                 ids, words, held = [], [], 0
+                pa.default_memory_pool().release_unused()
     if ids:
         yield ids, words
+    pa.default_memory_pool().release_unused()  # workers live on; what Arrow keeps would add up with the next stage's
 
 
 def vocabulary(docs: DataFrame, size: int = VOCABULARY, block_bytes: int = COUNT_BYTES) -> np.ndarray:
@@ -178,7 +180,7 @@ def exploded(docs: DataFrame, known: np.ndarray, parts: int, block_bytes: int =
             grams, counts, cuts = _dealt(tokens, lengths, parts)
             there = np.array([i is not None for i in ids], np.uint8)
             rows = [(block, -1, np.array([i or 0 for i in ids], np.int64).tobytes(), there.tobytes(), lengths.tobytes(), tokens.tobytes(), None, None)]
-            rows += [(block, p, None, None, None, None, grams[a:b].tobytes(), counts[a:b].tobytes()) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            rows += [(block, p, None, None, None, None, grams[a:b].tobytes(), _short(counts[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
             for row in rows:
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, EXPLODED, strict=True)], schema=EXPLODED)
 
@@ -190,9 +192,19 @@ def _answer(asked: pd.DataFrame) -> pd.DataFrame:
     """One table: the counts of all blocks, for each bigram that a block has asked for."""
     grams = [np.frombuffer(g, np.uint64) for g in asked["grams"]]
     _, back = np.unique(np.concatenate(grams), return_inverse=True)
-    totals = np.bincount(back, np.concatenate([np.frombuffer(c, np.int64) for c in asked["counts"]])).astype(np.int64)[back]
+    totals = np.bincount(back, np.concatenate([_long(c) for c in asked["counts"]])).astype(np.int64)[back]
     cuts = np.cumsum([0, *map(len, grams)])
-    return pd.DataFrame({"block": asked["block"], "part": asked["part"], "totals": [totals[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
+    return pd.DataFrame({"block": asked["block"], "part": asked["part"], "totals": [_short(totals[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
+
+
+def _short(counts: np.ndarray) -> bytes:
+    """Counts as bytes, in the narrowest of four widths; the first byte is the width."""
+    kind = np.min_scalar_type(int(counts.max(initial=0)))
+    return bytes([kind.itemsize]) + counts.astype(kind).tobytes()
+
+
+def _long(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
 
 
 def _singles(batches):
@@ -216,7 +228,7 @@ def scored(docs: DataFrame, size: int = VOCABULARY, backoff: float = BACKOFF, bl
     n_all = int(uni.sum())
 
     def add_up(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        totals = np.concatenate([np.frombuffer(g, np.int64) for g in theirs.sort_values("part")["totals"]] or [np.zeros(0, np.int64)])
+        totals = np.concatenate([_long(g) for g in theirs.sort_values("part")["totals"]] or [np.zeros(0, np.int64)])
         block = mine.iloc[0]
         lengths, tokens = np.frombuffer(block["lengths"], np.int64), np.frombuffer(block["tokens"], np.uint16).astype(np.uint32)
         doc = np.repeat(np.arange(len(lengths)), lengths)
