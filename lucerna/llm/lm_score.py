@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, small_batches
 
 VOCABULARY = 65_535
 BACKOFF = 0.4
@@ -33,7 +33,7 @@ BACKOFF = 0.4
 BLOCK_BYTES = 2_000_000
 COUNT_BYTES = 8_000_000
 #: Bytes of text for each table of counts, about.
-PART_BYTES = 40_000_000
+PART_BYTES = 16_000_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -106,7 +106,8 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY, block_bytes: int = COUNT
             for at in range(0, len(h), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(h[at : at + 100_000].view(np.int64)), pa.array(n[at : at + 100_000])], names=["h", "n"])
 
-    counts = materialise(docs.select("doc_id", "text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
+    with small_batches(docs.sparkSession):
+        counts = materialise(docs.select("doc_id", "text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
     # words by steps of frequency, 64 for each doubling: where does the vocabulary end?
     step = F.floor(F.log2("n") * 64)
     steps = {r["step"]: (r["words"], r["least"]) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect()}
@@ -220,7 +221,8 @@ def scored(docs: DataFrame, size: int = VOCABULARY, backoff: float = BACKOFF, bl
     known = vocabulary(docs, size)
     total_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total_bytes // part_bytes))
-    held = materialise(exploded(docs, known, parts, block_bytes), "ngrams")
+    with small_batches(docs.sparkSession):
+        held = materialise(exploded(docs, known, parts, block_bytes), "ngrams")
     blocks = held.filter("part = -1").select("block", "ids", "known", "lengths", "tokens")
     uni = np.zeros(size + 1, np.int64)
     for r in blocks.select("tokens").mapInPandas(_singles, "w int, n long").groupBy("w").agg(F.sum("n").alias("n")).collect():

@@ -2,8 +2,8 @@
 
 The field tags the tokens of a text as secret begin, inside or outside, from their shape, neighbouring words and
 features of the whole file, decoded by Viterbi. It is fitted on at most ``max_rows`` documents (chosen by a hash of
-their id: the documented bound of the fit) with the base patterns' spans as tags; word features are dropped at
-random, so that shape alone can carry a tag. Tokens are runs of non-space characters. Tokens with a digit, ``=`` or
+their id: the documented bound of the fit) with the base patterns' spans as tags, and with made-up secrets of other
+forms in their place; word features are dropped at random, so that shape alone can carry a tag. Tokens are runs of non-space characters. Tokens with a digit, ``=`` or
 ``:``, or of 20 and more characters, and the three tokens on either side form the chains; all others are outside.
 Spans that the field adds never overlap a base span, and base spans always stay.
 
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, small_batches
 from .crf import BEGIN, INSIDE, Crf, train
 
 # The base patterns, in the order in which kinds are listed.
@@ -152,18 +152,61 @@ def tags_of(spans: list[tuple[int, int]], secrets: list[tuple[int, int, str]]) -
     return tags
 
 
+# Words that announce secrets beyond those of the base patterns, and starts of well-known tokens.
+ANNOUNCE = ("credential", "auth", "bearer", "passphrase", "private_key", "access_key", "client_secret", "key", "pwd", "secret", "token", "password")
+STARTS = ("ghp_", "sk_live_", "xoxb-", "glpat-", "AIza", "eyJ", "AKIA", "pk_test_")
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_SETS = ("0123456789abcdef", "0123456789ABCDEF", _LETTERS + _LETTERS.upper() + "0123456789", _LETTERS + _LETTERS.upper() + "0123456789+/", _LETTERS + "0123456789", _LETTERS.upper() + "0123456789")
+#: Made-up variants of each secret in the fit.
+VARIANTS = 6
+
+
+def made_up(rng: np.random.Generator) -> str:
+    """A random secret: characters of one set, at times with a known start, parts or padding."""
+    chars = _SETS[rng.integers(len(_SETS))]
+    value = "".join(chars[i] for i in rng.integers(0, len(chars), rng.integers(16, 49)))
+    if rng.random() < 0.35:
+        value = STARTS[rng.integers(len(STARTS))] + value
+    if rng.random() < 0.15:
+        value = value[:12] + "." + value[12:]
+    return value + "=" * int(rng.integers(1, 3)) if rng.random() < 0.1 else value
+
+
+def variant(text: str, span: tuple[int, int, str], rng: np.random.Generator) -> tuple[str, tuple[int, int, str]]:
+    """The text around a secret with another secret in its place, and where that stands."""
+    a, b, _ = span
+    before, after = text[max(0, a - 200) : a].rstrip("\"'"), text[b : b + 200].lstrip("\"'")
+    quote = ("", '"', "'")[rng.integers(3)]
+    lead = ""
+    if rng.random() < 0.6:
+        lead = ANNOUNCE[rng.integers(len(ANNOUNCE))] + (" = ", ": ", "=", ":", " ")[rng.integers(5)]
+    whole = f"{lead}{quote}{made_up(rng)}{quote}"
+    return f"{before}{'' if not before or before[-1].isspace() else ' '}{whole}{'' if not after or after[0].isspace() else ' '}{after}", (len(before) + (bool(before) and not before[-1].isspace()), len(before) + (bool(before) and not before[-1].isspace()) + len(whole), "made")
+
+
 def _training_rows(batches):
-    rng = np.random.default_rng(3)
     for batch in batches:
         rows = []
-        for text, source in zip(batch["text"], batch["source"], strict=True):
-            text = text or ""
-            found, secrets = chains(text), base_spans(text)
-            about = file_features(text, len(found))
+
+        def add(text, source, secrets, about=None):
+            found = chains(text)
+            about = about or file_features(text, len(found))
             for spans in found:
                 tags = tags_of(spans, secrets)
-                if tags.any() or rng.random() < 0.3:
+                keep = tags.any() or zlib.crc32(text[spans[0][0] : spans[-1][1]].encode("utf-8", "surrogatepass")) % 10 < 4
+                if keep:
                     rows.append((featured(text, spans[:FIT_TOKENS], source, about).astype(np.uint16).tobytes(), tags[:FIT_TOKENS].tobytes()))
+            return about
+
+        for text, source in zip(batch["text"], batch["source"], strict=True):
+            text = text or ""
+            secrets = base_spans(text)
+            about = add(text, source, secrets)
+            rng = np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+            for span in secrets[:4]:
+                for _ in range(VARIANTS):
+                    other, place = variant(text, span, rng)
+                    add(other, source, [place], about if rng.random() < 0.5 else None)
         yield pd.DataFrame(rows, columns=["ids", "tags"])
 
 
@@ -265,7 +308,10 @@ def redacted(text: str, spans: list[tuple[int, int, str]], mark: str = "[SECRET]
 
 def found_secrets(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans (as text)."""
-    listed = scan(docs.select("doc_id", "text", "source"), fit(docs.select("doc_id", "text", "source")))
+    thin = docs.select("doc_id", "text", "source")
+    model = fit(thin)
+    with small_batches(docs.sparkSession):
+        listed = materialise(scan(thin, model).select("doc_id", "spans"), "spans")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base: Column = F.filter("spans", lambda s: s["kind"] != "crf")

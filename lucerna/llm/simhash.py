@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, small_batches
 from .components import components
 
 BITS = 64
@@ -157,7 +157,8 @@ def links(distinct: DataFrame, distance: int = DISTANCE, sample: int = SAMPLE) -
 
 def grouped(docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, fp (signed long), component_id (the least doc_id of its component)."""
-    thin = materialise(docs.select("doc_id", fingerprint_column("text", width).alias("fp")), "fingerprints")
+    with small_batches(docs.sparkSession):
+        thin = materialise(docs.select("doc_id", fingerprint_column("text", width).alias("fp")), "fingerprints")
     distinct = materialise(thin.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     root = components(links(distinct, distance))
     linked = root.select("node", "root").unionAll(root.select("root", "root").distinct())

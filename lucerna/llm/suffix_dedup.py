@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import units, unpacked_place
-from .common import materialise, text_or_empty
+from .common import materialise, small_batches, text_or_empty
 from .suffix_array import common_prefixes, suffix_array
 
 LENGTH = 200
@@ -163,7 +163,8 @@ def _possible(every: DataFrame, n_docs: int) -> DataFrame:
 def _found(docs: DataFrame, length: int) -> DataFrame:
     """Units that occur twice, and units to be compared: _d_key, place, whole (found whole elsewhere), h (of the anchor,
     for the one copy of each unit that is compared with others of its anchor; else null)."""
-    every = materialise(_possible(text_units(docs, length), docs.count()), "units")
+    with small_batches(docs.sparkSession):
+        every = materialise(_possible(text_units(docs, length), docs.count()), "units")
     each = every.groupBy("h", "u").agg(F.count("*").alias("n"), F.min(F.struct("_d_key", "place")).alias("one"), F.first("mixed").alias("mixed")).filter("n > 1 or mixed")
     # inverted keys: both sides are exchanged anew, so that Spark can split a hot unit
     kept = each.select(F.bitwise_not("h").alias("_d_h"), F.bitwise_not("u").alias("_d_u"), "n", F.when(F.col("mixed"), F.col("one")).alias("one"))
@@ -238,7 +239,8 @@ def _first_round(docs: DataFrame, length: int) -> DataFrame:
         return _batches(rows(), _JOINED, 500)
 
     spec = "doc_id long, _d_key long, packed binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, todo array<struct<h:long,place:long>>"
-    return materialise(both.mapInArrow(run, spec), "first-round")
+    with small_batches(docs.sparkSession):
+        return materialise(both.mapInArrow(run, spec), "first-round")
 
 
 def _compared(waiting: DataFrame, length: int) -> DataFrame:
