@@ -27,7 +27,7 @@ BLOCK = 1024
 #: Cells of the grid on which points meet the sources' intervals.
 GRID = 1024
 #: Rows that a window may sort at once.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:

@@ -23,7 +23,7 @@ BUCKETS = 16
 TOKEN_BUDGET = 16_384
 EXACT = 1024
 PER_OCTAVE = 64
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 
 
 def step_of(length: Column, exact: int = EXACT, per_octave: int = PER_OCTAVE) -> Column:
