@@ -26,7 +26,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup(docs)
+    """Beside fingerprints within three bits, those within six link where five-word shingles are 0.8 similar or more."""
+    return near_dedup(docs, further=6)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import SPACE_CLASS, materialise, small_batches
 from .components import components
 
 BITS = 64
@@ -102,7 +102,8 @@ def _costs(bits: np.ndarray, group: list[int], distance: int, n_total: int) -> l
     costs = [0.0]
     for t in range(distance + 1):
         ways = variants(len(group), t)
-        costs.append(float(n_total) * (1 + ways) + float(n_total) ** 2 * max(seen[t], ways / 2.0 ** len(group)))
+        rows = float(max(n_total, 2))  # an empty table is planned like a small one
+        costs.append(rows * (1 + ways) + rows**2 * max(seen[t], ways / 2.0 ** len(group)))
     return costs
 
 
@@ -155,12 +156,42 @@ def links(distinct: DataFrame, distance: int = DISTANCE, sample: int = SAMPLE) -
     return met.select("a", "b")
 
 
-def grouped(docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE) -> DataFrame:
-    """One row per document: doc_id, fp (signed long), component_id (the least doc_id of its component)."""
+def word_shingles(text: Column, words: int) -> Column:
+    """Hashes of the different word shingles of a text, as ``fingerprint`` cuts words; a shorter text is one shingle."""
+    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    found = F.filter(F.split(lower, SPACE_CLASS + "+"), lambda w: w != "")
+    cut = lambda w: F.when(F.size(w) > words, F.transform(F.sequence(F.lit(1), F.size(w) - words + 1), lambda i: F.xxhash64(F.slice(w, i, words)))).otherwise(F.array(F.xxhash64(w)))
+    return F.array_distinct(F.get(F.transform(F.array(found), cut), 0))
+
+
+def similar(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """a, b: those of the pairs (a, b, least_a, least_b) whose documents have a Jaccard similarity of at least
+    ``similarity`` over different ``words``-word shingles. Only documents of some pair are cut into shingles."""
+    asked = pairs.select(F.explode(F.array("least_a", "least_b")).alias("_s_id")).distinct()
+    texts = docs.select("doc_id", "text").join(asked, F.col("doc_id") == F.col("_s_id")).groupBy("doc_id").agg(F.min("text").alias("text"))
+    sets = materialise(texts.select("doc_id", word_shingles(F.col("text"), words).alias("set")), "shingles")
+    first, second = (sets.select(F.col("doc_id").alias(f"_s_{k}"), F.col("set").alias(f"set_{k}")) for k in "ab")
+    both = pairs.join(first, F.col("least_a") == F.col("_s_a")).join(second, F.col("least_b") == F.col("_s_b"))
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    return both.filter(shared >= similarity * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
+
+
+def grouped(docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE, further: int = 0, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per document: doc_id, fp (signed long), component_id (the least doc_id of its component).
+
+    Fingerprints within ``distance`` bits link. With ``further`` above it, those within that many bits link as well
+    where the similarity of their documents (the one of least doc_id for each fingerprint) bears it out.
+    """
     with small_batches(docs.sparkSession):
         thin = materialise(docs.select("doc_id", fingerprint_column("text", width).alias("fp")), "fingerprints")
     distinct = materialise(thin.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    root = components(links(distinct, distance))
+    found = links(distinct, max(distance, further))
+    if further > distance:
+        apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+        found = materialise(found.distinct().withColumn("far", apart > distance), "links")
+        named = found.filter("far").join(distinct.select(F.col("fp").alias("a"), F.col("least").alias("least_a")), "a").join(distinct.select(F.col("fp").alias("b"), F.col("least").alias("least_b")), "b")
+        found = found.filter("not far").select("a", "b").unionAll(similar(named, docs, words, similarity))
+    root = components(found)
     linked = root.select("node", "root").unionAll(root.select("root", "root").distinct())
     held = distinct.join(linked.withColumnRenamed("root", "_s_root"), F.col("fp") == F.col("node"), "left")
     held = materialise(held.select("fp", "least", "_s_root"), "linked")
@@ -177,7 +208,7 @@ def fingerprint_groups(docs: DataFrame) -> DataFrame:
     return grouped(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE) -> DataFrame:
+def near_dedup(docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE, further: int = 0, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each component stays: the one with the least doc_id (null doc_ids stay)."""
-    lost = grouped(docs, distance, width).filter("doc_id <> component_id").select(F.col("doc_id").alias("_s_lost")).distinct()
+    lost = grouped(docs, distance, width, further, words, similarity).filter("doc_id <> component_id").select(F.col("doc_id").alias("_s_lost")).distinct()
     return docs.join(lost, F.col("doc_id") == F.col("_s_lost"), "left_anti")

@@ -31,7 +31,9 @@ HASH_BITS = 18
 BUCKETS = 1 << HASH_BITS
 #: Labelled rows that a model is fitted on, at most.
 MAX_ROWS = 20_000
-KEEP = 4096
+KEEP = 1024
+#: Weight of features that speak for the clean class when features are chosen: the toxic class is the rare one.
+CLEAN_SHARE = 0.3
 THRESHOLD = 0.3
 #: Bytes of a text that are hashed at once.
 CHUNK = 1 << 20
@@ -127,6 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, keep: int
     both = (p + q) / (n_p + n_q)
     apart = np.abs(p / n_p - q / n_q) / np.sqrt(np.maximum(both * (1 - both), 1e-12))
     apart[p + q < 3] = 0
+    apart[ratio < 0] *= CLEAN_SHARE
     chosen = np.sort(np.argsort(-apart, kind="stable")[:keep])
     chosen = chosen[apart[chosen] > 0]
     place = np.full(BUCKETS, -1, np.int32)

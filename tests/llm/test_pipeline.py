@@ -7,7 +7,7 @@ from lucerna.llm.registry import QUERIES
 from .helpers import awkward, empty
 from .test_exact_dedup import slow as slow_exact
 from .test_mixing import slow_targets
-from .test_simhash import slow_fingerprint, slow_groups
+from .test_simhash import similarity, slow_fingerprint, slow_groups
 
 
 def words(text):
@@ -26,7 +26,8 @@ def test_each_stage_against_brute_force(spark, sf_dir):
     clean, once, apart, mixed, packed = seen
     assert Counter(clean) == Counter(r for r in start if r.doc_id not in toxic) and toxic
     assert {r.doc_id for r in once} == {i for i, _, _, kept, _ in slow_exact([(r.doc_id, r.text) for r in clean]) if kept} and len(once) < len(clean)
-    groups = slow_groups([(r.doc_id, slow_fingerprint(r.text)) for r in once])
+    texts = {r.doc_id: r.text for r in once}
+    groups = slow_groups([(r.doc_id, slow_fingerprint(r.text)) for r in once], lambda i, j: similarity(texts[i], texts[j]) >= 0.8)
     assert Counter(apart) == Counter(r for r in once if groups[r.doc_id] == r.doc_id)
     sizes, taken = Counter(), Counter()
     whole = {r.doc_id: r for r in apart}

@@ -18,8 +18,15 @@ def slow_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def slow_groups(rows):
-    """doc_id -> component, over (doc_id, fingerprint)."""
+def similarity(a, b, n=5):
+    """Jaccard similarity over different five-word shingles."""
+    cut = lambda t: (lambda w: {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))})((t or "").encode().lower().split())
+    x, y = cut(a), cut(b)
+    return len(x & y) / len(x | y)
+
+
+def slow_groups(rows, further=lambda i, j: False):
+    """doc_id -> component, over (doc_id, fingerprint); ``further`` decides on pairs of four to six bits."""
     up = {i: i for i, _ in rows}
 
     def top(i):
@@ -29,7 +36,7 @@ def slow_groups(rows):
 
     for i, a in rows:
         for j, b in rows:
-            if i < j and (a ^ b).bit_count() <= 3:
+            if i < j and ((a ^ b).bit_count() <= 3 or (a ^ b).bit_count() <= 6 and further(i, j)):
                 x, y = sorted((top(i), top(j)))
                 up[y] = x
     return {i: top(i) for i in up}
@@ -59,6 +66,22 @@ def test_links_lose_none_in_a_dense_cluster(spark):
     assert got == {(a, b) for a in prints for b in prints if a < b and ((a ^ b) & mask).bit_count() <= 3}
 
 
+def test_further_links_are_borne_out_by_similarity(spark):
+    rng = np.random.default_rng(7)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 400)]
+    texts = []
+    for k in range(60):
+        words = list(base)
+        for i in rng.integers(0, 400, k // 2):
+            words[i] = f"Z{k}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = slow_groups([(i, slow_fingerprint(t)) for i, t in enumerate(texts)], lambda i, j: similarity(texts[i], texts[j]) >= 0.8)
+    near = slow_groups([(i, slow_fingerprint(t)) for i, t in enumerate(texts)])
+    assert sorted(r.doc_id for r in near_dedup(docs, further=6).collect()) == sorted(i for i, g in want.items() if i == g)
+    assert len(set(want.values())) < len(set(near.values()))
+
+
 def test_thresholds_keep_the_pigeonhole_sum():
     assert allot_thresholds([[0, 1, 9, 99, 99], [0, 5, 6, 9, 99]], 3) == (10, [0, 2])
     for parts in (2, 3, 4):
