@@ -140,18 +140,24 @@ def _signed(x: int) -> int:
 
 
 def links(distinct: DataFrame, distance: int = DISTANCE, sample: int = SAMPLE) -> DataFrame:
-    """a < b: all pairs of different fingerprints (column fp) within ``distance`` bits."""
+    """a < b: all pairs of different fingerprints (column fp) within ``distance`` bits, each once: from the first partition
+    in which the two agree."""
     n_total = distinct.count()
     some = [r[0] for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()]
     index = probes = None
+    differ, first = F.col("a").bitwiseXOR(F.col("b")), F.lit(True)
+    earlier = F.lit(True)  # the two agree in no partition before this one
     for i, (group, t) in enumerate(plan(np.array(some, np.int64), n_total, distance)):
-        value = F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in group))))
+        mask = F.lit(_signed(sum(1 << b for b in group)))
+        first = F.when(F.col("i.part") == i, earlier).otherwise(first)
+        earlier = earlier & (F.bit_count(differ.bitwiseAND(mask)) > t)
+        value = F.col("fp").bitwiseAND(mask)
         flips = [_signed(sum(1 << b for b in c)) for k in range(t + 1) for c in combinations(group, k)]
         exact = distinct.select(F.lit(i).alias("part"), value.alias("key"), F.col("fp").alias("a"))
         varied = distinct.select(F.lit(i).alias("part"), F.explode(F.array(*[value.bitwiseXOR(F.lit(x)) for x in flips])).alias("key"), F.col("fp").alias("b"))
         index = exact if index is None else index.unionAll(exact)
         probes = varied if probes is None else probes.unionAll(varied)
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
+    near = (F.bit_count(differ) <= distance) & first
     met = index.alias("i").join(probes.alias("p"), (F.col("i.part") == F.col("p.part")) & (F.col("i.key") == F.col("p.key")) & (F.col("a") < F.col("b")) & near)
     return met.select("a", "b")
 
@@ -188,7 +194,7 @@ def grouped(docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE, fur
     found = links(distinct, max(distance, further))
     if further > distance:
         apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-        found = materialise(found.distinct().withColumn("far", apart > distance), "links")
+        found = materialise(found.withColumn("far", apart > distance), "links")
         named = found.filter("far").join(distinct.select(F.col("fp").alias("a"), F.col("least").alias("least_a")), "a").join(distinct.select(F.col("fp").alias("b"), F.col("least").alias("least_b")), "b")
         found = found.filter("not far").select("a", "b").unionAll(similar(named, docs, words, similarity))
     root = components(found)

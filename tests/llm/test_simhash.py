@@ -61,7 +61,9 @@ def test_links_lose_none_in_a_dense_cluster(spark):
     base = rng.integers(-(2**63), 2**63 - 1, 12, dtype=np.int64)
     dense = [int(np.int64(b) ^ np.bitwise_or.reduce(np.left_shift(np.int64(1), rng.integers(0, 64, rng.integers(0, 4))))) for b in base for _ in range(40)]
     prints = sorted({*map(int, base), *dense})
-    got = {(r.a, r.b) for r in links(spark.createDataFrame([(p,) for p in prints], "fp long"), 3).collect()}
+    found = [(r.a, r.b) for r in links(spark.createDataFrame([(p,) for p in prints], "fp long"), 3).collect()]
+    got = set(found)
+    assert len(got) == len(found)
     mask = (1 << 64) - 1
     assert got == {(a, b) for a in prints for b in prints if a < b and ((a ^ b) & mask).bit_count() <= 3}
 
