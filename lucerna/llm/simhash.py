@@ -7,6 +7,12 @@ thresholds are allotted by dynamic programming on candidate counts estimated fro
 fingerprints; partitions of threshold -1 are not probed. The sample only steers cost: the search itself is exact.
 Equal fingerprints are collapsed first, so copies never meet as pairs.
 
+With ``every``, all texts of a Jaccard similarity of at least ``similarity`` over different ``words``-word shingles link
+as well, however far their fingerprints are apart (at a similarity of 0.8, 64 bits differ in about 10 places, give or
+take 3: no distance that keeps random texts out takes all of them in). Candidates share one of 28 bands of four
+MinHash values, which two texts of similarity 0.8 miss with a probability of 4e-7. Inside a band's group of texts, a
+search from text to text finds the components of the pairs that are similar enough, and only their links leave it.
+
 Defined cases: a null or empty text has fingerprint zero and links like any other; a text of fewer words than a
 shingle is one shingle; repeated rows get the same answer; null doc_ids get the component of their fingerprint; an
 empty table gives an empty result. Extra columns are kept by ``near_dedup``; names starting with ``_s_`` are reserved.
@@ -20,11 +26,12 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, materialise, small_batches
+from .common import SPACE_CLASS, materialise, small_batches, text_or_empty
 from .components import components
+from .lm_score import word_hashes
 
 BITS = 64
 DISTANCE = 3
@@ -34,6 +41,9 @@ SEED = 42
 SAMPLE = 8192
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
+#: Bands of a text, MinHash values of each.
+BANDS, ROWS = 28, 4
+_MULTIPLIERS = np.random.default_rng(23).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -182,14 +192,103 @@ def similar(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) ->
     return both.filter(shared >= similarity * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
 
 
-def grouped(docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE, further: int = 0, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(32)
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """Hashes of the different word shingles of a text, sorted; words as ``fingerprint`` cuts them, a shorter text is one shingle."""
+    h = word_hashes((text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
+    n = max(1, len(h) - words + 1)
+    out = np.full(n, min(len(h), words), np.uint64)
+    for k in range(min(len(h), words)):
+        out = _mixed(out) + h[k : k + n]
+    return np.unique(_mixed(out))
+
+
+def bands(shingles: np.ndarray) -> np.ndarray:
+    """A hash for each band: of its number and the least values of its permutations."""
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(shingles), 512):
+        np.minimum(least, (shingles[at : at + 512, None] * _MULTIPLIERS).min(axis=0), out=least)
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(ROWS):
+        out = _mixed(out) + least[k::ROWS]
+    return _mixed(out)
+
+
+def bands_column(text: Column, words: int) -> Column:
+    @F.pandas_udf("array<long>")
+    def each(texts: pd.Series) -> pd.Series:
+        return pd.Series([bands(shingle_set(t, words)).view(np.int64) for t in texts], dtype=object)
+
+    return each(text)
+
+
+def shingles_column(text: Column, words: int) -> Column:
+    @F.pandas_udf("binary")
+    def each(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, words).tobytes() for t in texts], dtype=object)
+
+    return each(text)
+
+
+def similar_parts(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set, the place of the first one of its component under Jaccard similarity of at least ``similarity``."""
+    size = np.array([len(x) for x in sets])
+    names, place = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    part, left = np.full(len(sets), -1), np.ones(len(sets), bool)
+    for first in range(len(sets)):
+        if not left[first]:
+            continue
+        part[first], left[first] = first, False
+        waiting = [first]
+        while waiting and left.any():  # each text meets those that no part has yet
+            held = left[owner]
+            place, owner = place[held], owner[held]
+            now = waiting.pop()
+            mine = np.zeros(len(names), bool)
+            mine[np.searchsorted(names, sets[now])] = True
+            shared = np.bincount(owner[mine[place]], minlength=len(sets))
+            near = np.flatnonzero(left & (shared >= similarity * (size[now] + size - shared)))
+            part[near], left[near] = first, False
+            waiting += near.tolist()
+    return part
+
+
+def similar_links(thin: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """a, b: fingerprints that link all texts of at least ``similarity``; ``thin`` has fp, unit (a hash of the text) and bands."""
+    keys = thin.filter("fp <> 0").select("fp", "unit", F.explode("bands").alias("key")).dropDuplicates(["key", "unit"])
+    mates = Window.partitionBy("key")
+    met = keys.withColumns({"differ": F.min("fp").over(mates) < F.max("fp").over(mates), "group": F.bit_xor(F.xxhash64("unit")).over(mates)})
+    # bands that gather the same texts are one group
+    members = materialise(met.filter("differ").select("group", "unit", "fp").distinct(), "members")
+    asked = members.select(F.col("unit").alias("_s_unit")).distinct()
+    texts = docs.select(F.xxhash64(text_or_empty()).alias("unit"), text_or_empty().alias("text")).join(asked, F.col("unit") == F.col("_s_unit"), "left_semi")
+    with small_batches(docs.sparkSession):
+        sets = materialise(texts.select("unit", shingles_column(F.col("text"), words).alias("set")).dropDuplicates(["unit"]), "shingles")
+
+    def linked(group: pd.DataFrame) -> pd.DataFrame:
+        fp = group["fp"].to_numpy(np.int64)
+        part = similar_parts([np.frombuffer(x, np.uint64) for x in group["set"]], similarity)
+        found = pd.DataFrame({"a": fp, "b": fp[part]})
+        return found[found["a"] != found["b"]].drop_duplicates()
+
+    return members.join(sets, "unit").groupBy("group").applyInPandas(linked, "a long, b long")
+
+
+def grouped(docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE, further: int = 0, words: int = 5, similarity: float = 0.8, every: bool = False) -> DataFrame:
     """One row per document: doc_id, fp (signed long), component_id (the least doc_id of its component).
 
     Fingerprints within ``distance`` bits link. With ``further`` above it, those within that many bits link as well
-    where the similarity of their documents (the one of least doc_id for each fingerprint) bears it out.
+    where the similarity of their documents (the one of least doc_id for each fingerprint) bears it out. With ``every``, all documents of that similarity link.
     """
+    more = [F.xxhash64(text_or_empty()).alias("unit"), bands_column(F.col("text"), words).alias("bands")] if every else []
     with small_batches(docs.sparkSession):
-        thin = materialise(docs.select("doc_id", fingerprint_column("text", width).alias("fp")), "fingerprints")
+        thin = materialise(docs.select("doc_id", fingerprint_column("text", width).alias("fp"), *more), "fingerprints")
     distinct = materialise(thin.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     found = links(distinct, max(distance, further))
     if further > distance:
@@ -197,6 +296,8 @@ def grouped(docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE, fur
         found = materialise(found.withColumn("far", apart > distance), "links")
         named = found.filter("far").join(distinct.select(F.col("fp").alias("a"), F.col("least").alias("least_a")), "a").join(distinct.select(F.col("fp").alias("b"), F.col("least").alias("least_b")), "b")
         found = found.filter("not far").select("a", "b").unionAll(similar(named, docs, words, similarity))
+    if every:
+        found = found.select("a", "b").unionAll(materialise(similar_links(thin, docs, words, similarity), "similar"))
     root = components(found)
     linked = root.select("node", "root").unionAll(root.select("root", "root").distinct())
     held = distinct.join(linked.withColumnRenamed("root", "_s_root"), F.col("fp") == F.col("node"), "left")
@@ -214,7 +315,7 @@ def fingerprint_groups(docs: DataFrame) -> DataFrame:
     return grouped(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE, further: int = 0, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_dedup(docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE, further: int = 0, words: int = 5, similarity: float = 0.8, every: bool = False) -> DataFrame:
     """One document of each component stays: the one with the least doc_id (null doc_ids stay)."""
-    lost = grouped(docs, distance, width, further, words, similarity).filter("doc_id <> component_id").select(F.col("doc_id").alias("_s_lost")).distinct()
+    lost = grouped(docs, distance, width, further, words, similarity, every).filter("doc_id <> component_id").select(F.col("doc_id").alias("_s_lost")).distinct()
     return docs.join(lost, F.col("doc_id") == F.col("_s_lost"), "left_anti")
