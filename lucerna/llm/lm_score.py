@@ -1,10 +1,10 @@
 """Language-model scoring: Stupid-backoff scores of every document, from counts over all documents.
 
-The ``vocabulary`` most frequent words of the corpus get numbers, all other words share one (a parameter of the
-model, the same at every size). Documents are taken in blocks; a block's n-grams are exploded, made unique and
-dealt by hash to ``parts`` tables, where the counts of all blocks add up. The tables answer each block's n-grams
-(hot ones cost one entry a block, whatever their number of documents), and answers are joined to the block and
-summed per document.
+Every word counts as itself, by a 64-bit hash. Documents are taken in blocks, in which words have numbers of their own;
+a block's different words and bigrams are dealt by hash to ``parts`` tables, where the counts of all blocks add up. The
+tables answer each block's n-grams (hot ones cost one entry a block, whatever their number of documents), and answers
+are joined to the block and summed per document. Only the number of words reaches the driver. Sorted hashes travel as
+compressed differences. With a ``size``, all but that many most frequent words share one hash; the query has none.
 
 A document is scored by the corpus without itself: its own counts are taken off. The score of a word after another
 is c(v w) / c(v) if c(v w) > 0, else ``backoff`` times c(w) / N, with half a count where the word is new.
@@ -27,10 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise, small_batches
 
-VOCABULARY = 65_535
 BACKOFF = 0.4
-#: Bytes that the words of a block take, about: eight each while words are counted, two each once they have numbers.
-BLOCK_BYTES = 2_000_000
+#: Bytes that the hashes of a block's words take, about.
+BLOCK_BYTES = 8_000_000
 COUNT_BYTES = 8_000_000
 #: Bytes of text for each table of counts, about.
 PART_BYTES = 16_000_000
@@ -38,6 +37,8 @@ PART_BYTES = 16_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _CHUNK = 1 << 20
+#: Keeps the bigrams of the hash zero apart from its own count.
+_PAIR = np.uint64(0xD6E8FEB86659FD93)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -98,7 +99,7 @@ def _blocks(batches, block_bytes: int, convert=word_hashes) -> Iterator[tuple[li
     pa.default_memory_pool().release_unused()  # workers live on; what Arrow keeps would add up with the next stage's
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY, block_bytes: int = COUNT_BYTES) -> np.ndarray:
+def vocabulary(docs: DataFrame, size: int, block_bytes: int = COUNT_BYTES) -> np.ndarray:
     """Hashes of the most frequent words, sorted; counted over all documents."""
     def count(batches):
         for _, words in _blocks(batches, block_bytes):
@@ -125,73 +126,105 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY, block_bytes: int = COUNT
     return np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64))
 
 
-def numbered(words: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Numbers of words: 1 .. len(known), 0 for all others."""
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(32)
+
+
+def _known_only(words: np.ndarray, known: np.ndarray | None) -> np.ndarray:
+    """Hashes of words, zero for those outside ``known`` (sorted), if there is one."""
+    if known is None:
+        return words
     if not len(known):
-        return np.zeros(len(words), np.uint32)
+        return np.zeros_like(words)
     at = np.minimum(np.searchsorted(known, words), len(known) - 1)
-    return np.where(known[at] == words, at + 1, 0).astype(np.uint32)
+    return np.where(known[at] == words, words, np.uint64(0))
+
 
+def _keyed(vocabulary: np.ndarray, tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's different n-grams as sorted 64-bit keys, and where each word of its vocabulary and each bigram stand
+    among them (the first word of a document has a bigram with no word before)."""
+    words = _mixed(vocabulary)
+    now = words[tokens]
+    before = np.empty(len(now), np.uint64)
+    before[1:] = now[:-1]
+    before[_firsts(lengths)] = 1 << 17
+    keys, back = np.unique(np.concatenate([words, _mixed((before + _PAIR) * np.uint64(_BASE) + now)]), return_inverse=True)
+    return keys, back[: len(words)], back[len(words) :]
 
-def _part_of(grams: np.ndarray, parts: int) -> np.ndarray:
-    """The table of a bigram: by a hash of it."""
-    return (grams * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)
 
+def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where each table's keys begin among sorted ones: tables take equal ranges of the keys."""
+    return np.searchsorted((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
 
-def _bigrams(tokens: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-    """Pairs (previous word, word) of a block; the first word of a document has previous 2**17."""
-    before = np.empty(len(tokens), np.uint64)
-    before[1:] = tokens[:-1]
-    before[firsts] = 1 << 17
-    return before << np.uint64(32) | tokens.astype(np.uint64)
 
+def _squeezed(values: np.ndarray) -> bytes:
+    """Numbers as compressed planes of bytes; the first bytes are the width and the size."""
+    raw = values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    return bytes([values.itemsize]) + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
-EXPLODED = pa.schema([("block", pa.string()), ("part", pa.int32()), ("ids", pa.binary()), ("known", pa.binary()), ("lengths", pa.binary()), ("tokens", pa.binary()), ("grams", pa.binary()), ("counts", pa.binary())])
 
+def _unsqueezed(raw: bytes) -> np.ndarray:
+    width, size = raw[0], int.from_bytes(raw[1:9], "little")
+    planes = np.frombuffer(pa.decompress(raw[9:], decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, -1).T).view(f"<u{width}").ravel()
 
-def _dealt(tokens: np.ndarray, lengths: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A block's different bigrams in order of their table, their counts, and where each table's begin."""
-    grams, counts = np.unique(_bigrams(tokens, _firsts(lengths)), return_counts=True)
-    where = _part_of(grams, parts)
-    order = np.argsort(where, kind="stable")
-    return grams[order], counts[order], np.searchsorted(where[order], np.arange(parts + 1))
 
+def _steps(rising: np.ndarray) -> bytes:
+    """Hashes as compressed differences (which wrap, so any order is held; sorted ones take least)."""
+    return _squeezed(np.diff(rising, prepend=np.uint64(0)))
 
-def _places(tokens: np.ndarray, lengths: np.ndarray, parts: int) -> np.ndarray:
-    """Where each word's bigram stands among what ``_dealt`` gives."""
-    grams, back = np.unique(_bigrams(tokens, _firsts(lengths)), return_inverse=True)
-    order = np.argsort(_part_of(grams, parts), kind="stable")
-    place = np.empty(len(order), np.int32)
-    place[order] = np.arange(len(order), dtype=np.int32)
-    return place[back]
+
+def _unstepped(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unsqueezed(raw), dtype=np.uint64)
 
 
 def _firsts(lengths: np.ndarray) -> np.ndarray:
     return (np.cumsum(lengths) - lengths)[lengths > 0]
 
 
-def exploded(docs: DataFrame, known: np.ndarray, parts: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of documents (part -1) and their different bigrams with counts, a row for each table they go to."""
+BLOCK = "block string, n_words long, ids binary, known binary, lengths binary, vocabulary binary, tokens binary"
+
+
+def blocks_of(docs: DataFrame, known: np.ndarray | None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Blocks of documents: hashes of their different words, and each text's words as numbers among them."""
 
-    def explode(batches):
-        for ids, words in _blocks(batches, block_bytes, lambda text: numbered(word_hashes(text), known).astype(np.uint16)):
-            block = uuid.uuid4().hex
+    def collect(batches):
+        for ids, words in _blocks(batches, block_bytes, lambda text: _known_only(word_hashes(text), known)):
             lengths = np.array([len(w) for w in words], np.int64)
-            tokens = np.concatenate(words)
-            grams, counts, cuts = _dealt(tokens, lengths, parts)
+            found, tokens = np.unique(np.concatenate(words), return_inverse=True)
             there = np.array([i is not None for i in ids], np.uint8)
-            rows = [(block, -1, np.array([i or 0 for i in ids], np.int64).tobytes(), there.tobytes(), lengths.tobytes(), tokens.tobytes(), None, None)]
-            rows += [(block, p, None, None, None, None, grams[a:b].tobytes(), _short(counts[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-            for row in rows:
-                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, EXPLODED, strict=True)], schema=EXPLODED)
+            row = (uuid.uuid4().hex, len(tokens), np.array([i or 0 for i in ids], np.int64).tobytes(), there.tobytes(), lengths.tobytes(), _steps(found), _squeezed(tokens.astype(np.uint32)))
+            types = [pa.string(), pa.int64(), *[pa.binary()] * 5]
+            names = ["block", "n_words", "ids", "known", "lengths", "vocabulary", "tokens"]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=names)
 
-    spec = "block string, part int, ids binary, known binary, lengths binary, tokens binary, grams binary, counts binary"
-    return docs.select("doc_id", "text").mapInArrow(explode, spec)
+    return docs.select("doc_id", "text").mapInArrow(collect, BLOCK)
+
+
+def dealt(blocks: DataFrame, parts: int) -> DataFrame:
+    """The different n-grams of blocks with counts, a row for each table they go to."""
+    schema = pa.schema([("block", pa.string()), ("part", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
+
+    def deal(batches):
+        for batch in batches:
+            for block, vocabulary, tokens, lengths in zip(*(batch.column(k).to_pylist() for k in ("block", "vocabulary", "tokens", "lengths")), strict=True):
+                tokens = _unsqueezed(tokens)
+                keys, of_word, of_pair = _keyed(_unstepped(vocabulary), tokens, np.frombuffer(lengths, np.int64))
+                counts = np.bincount(of_pair, minlength=len(keys)) + np.bincount(of_word[tokens], minlength=len(keys))
+                cuts = _cuts(keys, parts)
+                for p in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+                    a, b = cuts[p], cuts[p + 1]
+                    row = (block, p, _steps(keys[a:b]), _short(counts[a:b]))
+                    yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
+
+    return blocks.select("block", "vocabulary", "tokens", "lengths").mapInArrow(deal, "block string, part int, grams binary, counts binary")
 
 
 def _answer(asked: pd.DataFrame) -> pd.DataFrame:
     """One table: the counts of all blocks, for each bigram that a block has asked for."""
-    grams = [np.frombuffer(g, np.uint64) for g in asked["grams"]]
+    grams = [_unstepped(g) for g in asked["grams"]]
     _, back = np.unique(np.concatenate(grams), return_inverse=True)
     totals = np.bincount(back, np.concatenate([_long(c) for c in asked["counts"]])).astype(np.int64)[back]
     cuts = np.cumsum([0, *map(len, grams)])
@@ -208,38 +241,26 @@ def _long(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
 
 
-def _singles(batches):
-    for batch in batches:
-        for tokens in batch["tokens"]:
-            n = np.bincount(np.frombuffer(tokens, np.uint16))
-            w = np.flatnonzero(n)
-            yield pd.DataFrame({"w": w, "n": n[w]})
-
-
-def scored(docs: DataFrame, size: int = VOCABULARY, backoff: float = BACKOFF, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
+def scored(docs: DataFrame, size: int | None = None, backoff: float = BACKOFF, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, score (sum of log10), mean_score, n_backoff (words scored by backing off)."""
-    known = vocabulary(docs, size)
+    known = None if size is None else vocabulary(docs, size)
     total_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total_bytes // part_bytes))
     with small_batches(docs.sparkSession):
-        held = materialise(exploded(docs, known, parts, block_bytes), "ngrams")
-    blocks = held.filter("part = -1").select("block", "ids", "known", "lengths", "tokens")
-    uni = np.zeros(size + 1, np.int64)
-    for r in blocks.select("tokens").mapInPandas(_singles, "w int, n long").groupBy("w").agg(F.sum("n").alias("n")).collect():
-        uni[r["w"]] = r["n"]
-    n_all = int(uni.sum())
+        blocks = materialise(blocks_of(docs, known, block_bytes), "blocks")
+    n_all = blocks.agg(F.sum("n_words")).first()[0] or 0
 
     def add_up(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         totals = np.concatenate([_long(g) for g in theirs.sort_values("part")["totals"]] or [np.zeros(0, np.int64)])
         block = mine.iloc[0]
-        lengths, tokens = np.frombuffer(block["lengths"], np.int64), np.frombuffer(block["tokens"], np.uint16).astype(np.uint32)
+        lengths, tokens = np.frombuffer(block["lengths"], np.int64), _unsqueezed(block["tokens"])
         doc = np.repeat(np.arange(len(lengths)), lengths)
-        place = _places(tokens, lengths, parts)
+        _, of_word, place = _keyed(_unstepped(block["vocabulary"]), tokens, lengths)
         of_pair = totals[place] - own_counts(doc, place)
         first = np.zeros(len(tokens), bool)
         first[_firsts(lengths)] = True
         own_word = own_counts(doc, tokens.astype(np.int64))
-        left = uni[tokens] - own_word
+        left = totals[of_word[tokens]] - own_word
         context = np.maximum(np.concatenate(([0], left[:-1])), 1) if len(left) else left
         word = np.maximum(left, 0.5) / np.maximum(n_all - np.repeat(lengths, lengths), 1)
         found = (of_pair > 0) & ~first
@@ -248,7 +269,7 @@ def scored(docs: DataFrame, size: int = VOCABULARY, backoff: float = BACKOFF, bl
         ids = pd.arrays.IntegerArray(np.frombuffer(block["ids"], np.int64).copy(), ~there)
         return pd.DataFrame({"doc_id": ids, "n_words": lengths, "score": np.bincount(doc, logs, len(lengths)), "n_backoff": np.bincount(doc, ~found & ~first, len(lengths)).astype(np.int64)})
 
-    answers = held.filter("part >= 0").select("block", "part", "grams", "counts").groupBy("part").applyInPandas(_answer, "block string, part int, totals binary")
+    answers = dealt(blocks, parts).groupBy("part").applyInPandas(_answer, "block string, part int, totals binary")
     summed = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(add_up, "doc_id long, n_words long, score double, n_backoff long")
     some = F.col("n_words") > 0
     return summed.select("doc_id", "n_words", F.when(some, F.col("score")).alias("score"), F.when(some, F.col("score") / F.col("n_words")).alias("mean_score"), "n_backoff")
