@@ -1,9 +1,10 @@
 """Packing into optimal length buckets.
 
-The global histogram of lengths is reduced to at most a few thousand rising length steps (every length below
-``exact``, then ``per_octave`` steps for each doubling); dynamic programming over it chooses the ``buckets``
-boundaries of least padding, with the convex-hull trick. Inside a bucket, documents are ordered by a hash and dealt
-into batches of as many documents as ``token_budget`` holds at the bucket's length (one at least).
+Dynamic programming over the global histogram of lengths chooses the ``buckets`` boundaries of least padding, with
+the convex-hull trick; a bucket's length is that of its longest document. The histogram has a row for each length that
+occurs: d different lengths take d * (d - 1) / 2 words at least, so the root of twice the number of words bounds it.
+Inside a bucket, documents are ordered by a hash and dealt into batches of as many documents as ``token_budget`` holds
+at the bucket's length (one at least).
 
 Defined cases: lengths are words; a null text has length zero and goes to the shortest bucket; a document longer
 than the token budget has a batch of its own; ties and repeated rows are separate documents; an empty table gives
@@ -21,19 +22,9 @@ from .common import bucketed_positions, materialise, text_or_empty, word_count
 
 BUCKETS = 16
 TOKEN_BUDGET = 16_384
-EXACT = 1024
-PER_OCTAVE = 64
 BUCKET_ROWS = 1024
 
 
-def step_of(length: Column, exact: int = EXACT, per_octave: int = PER_OCTAVE) -> Column:
-    """The least step of the length grid that is no shorter than ``length``."""
-    base = F.lit(float(exact))
-    octave = F.floor(F.log2(F.greatest(length.cast("double"), base) / base))
-    size = F.pow(F.lit(2.0), octave) * (exact / per_octave)
-    return F.when(length <= exact, length.cast("double")).otherwise(F.ceil(length / size) * size).cast("long")
-
-
 def boundaries(counts: list[tuple[int, int]], buckets: int = BUCKETS) -> list[int]:
     """Upper lengths of at most ``buckets`` buckets over (length, count), with the least padding in all.
 
@@ -80,9 +71,9 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS,
     """``docs`` with n_tokens, bucket, bucket_len, batch (in its bucket), place (in its batch) and padding."""
     length = word_count(text_or_empty("text")) if length is None else length
     held = materialise(docs.withColumns({"n_tokens": length, "_p_row": F.monotonically_increasing_id()}), "lengths")
-    steps = held.groupBy(step_of(F.col("n_tokens")).alias("step")).agg(F.count("*").alias("n"))
-    # a few thousand steps at most: exact + per_octave for each doubling
-    ends = boundaries([(r["step"], r["n"]) for r in steps.collect()], buckets)
+    histogram = held.groupBy("n_tokens").agg(F.count("*").alias("n"))
+    # bounded by the root of twice the number of words, see above
+    ends = boundaries([(r["n_tokens"], r["n"]) for r in histogram.collect()], buckets)
     bounds = F.array(*[F.lit(int(e)).cast("long") for e in ends]) if ends else F.array(F.lit(0).cast("long"))
     bucket = F.size(F.filter(bounds, lambda e: e < F.col("n_tokens")))
     n_slices = -(-max(1, held.count()) // BUCKET_ROWS)

@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lucerna.llm.packing import boundaries, pack, packed, step_of
+from lucerna.llm.packing import boundaries, pack, packed
 from lucerna.llm.registry import QUERIES
 
 from .helpers import awkward, empty
@@ -25,9 +25,16 @@ def test_boundaries_are_optimal(histogram, buckets):
     assert padding(counts, ends) == min(padding(counts, e) for e in every)
 
 
-def test_steps_cover_every_length(spark):
-    rows = spark.range(0, 20_000).select(F.col("id"), step_of(F.col("id")).alias("s")).collect()
-    assert all(r.s >= r.id and (r.s == r.id or r.id > 1024 and r.s <= r.id * 1.02) for r in rows)
+def test_lengths_of_long_texts_are_exact(spark):
+    """No more different lengths than buckets: nothing is padded, however long the texts are."""
+    rows = [(i, 1500 + 2055 * (i % 10) - (i % 10 == 9)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, n long")
+    out = pack(docs, F.col("n"), buckets=16).collect()
+    assert len(out) == 400 and sum(r.padding for r in out) == 0
+    few = pack(docs, F.col("n"), buckets=4).collect()
+    counts = [(n, 40) for n in sorted({n for _, n in rows})]
+    best = min(padding(counts, [*some, counts[-1][0]]) for some in itertools.combinations([n for n, _ in counts[:-1]], 3))
+    assert sum(r.padding for r in few) == best
 
 
 def test_query_packs_every_document(spark, sf_dir):
@@ -44,13 +51,17 @@ def test_query_packs_every_document(spark, sf_dir):
     counts = {}
     for n in docs.values():
         counts[n] = counts.get(n, 0) + 1
-    if max(docs.values()) <= 1024:
-        assert sum(r.padding for r in rows) == padding(list(counts.items()), boundaries(list(counts.items()), 16))
+    assert {r.bucket_len for r in rows} <= set(counts)
+    assert sum(r.padding for r in rows) == padding(list(counts.items()), boundaries(list(counts.items()), 16))
 
 
 def test_awkward_rows(spark):
     docs = awkward(spark)
     out = pack(docs)
     assert out.columns[: len(docs.columns)] == docs.columns and out.count() == 11
+    rows = out.collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in rows) == [(0, 11), (1, 11), (2, 11), (2, 11), (3, 0), (4, 0), (5, 0), (6, 30_000), (7, 6), (8, 1), (9, 1)]
+    assert all(r.padding == 0 for r in rows) and {r.bucket_len for r in rows if r.n_tokens == 0} == {0}
+    assert len({(r.bucket, r.batch, r.place) for r in rows}) == 11
     assert packed(docs).filter("doc_id = 6 and bucket_len >= 30000").count() == 1
     assert packed(empty(spark)).count() == 0
