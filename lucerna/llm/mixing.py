@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, bucketed_positions, materialise, text_or_empty, word_count
+from .common import bucketed_positions, materialise, text_or_empty, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -49,8 +49,9 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
         F.coalesce(F.sum("_m_w").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("w_before"),
     )
     level = tried.select(((F.col("budget") - F.col("cap_before")) / (F.col("w") - F.col("w_before"))).alias("level"), "_m_ratio")
-    first = level.filter("level <= _m_ratio").agg(F.min_by("level", "_m_ratio").alias("level")).first()
-    target = F.least(F.lit(float(first["level"] or 0.0)) * F.col("_m_w"), F.col("_m_cap"))
+    # levels fall once one is low enough, so the greatest of those is the first, however ratios tie; without one, all sources are capped
+    first = level.filter("level <= _m_ratio").agg(F.max("level").alias("level")).first()
+    target = F.least(F.lit(float("inf") if first["level"] is None else float(first["level"])) * F.col("_m_w"), F.col("_m_cap"))
     held = ranked.withColumn("target", target).withColumn("_m_need", F.least(F.round("target"), F.col("_m_cap")).cast("long"))
     high = F.sum("_m_need").over(Window.orderBy("_m_sid").rowsBetween(Window.unboundedPreceding, 0))
     return materialise(held.withColumn("_m_high", high).withColumn("_m_low", F.col("_m_high") - F.col("_m_need")).drop("_m_w", "_m_cap"), "targets")
@@ -127,16 +128,13 @@ def taken_words(docs: DataFrame, block: int = BLOCK, seed: int = 7) -> DataFrame
 
 
 def mix_documents(docs: DataFrame, block: int = BLOCK, seed: int = 7) -> DataFrame:
-    """The mixed corpus: a document comes once for each pass that takes it, in full but for the last one of a source.
+    """The mixed corpus: a document comes once, and whole, for each pass that takes at least half of its words.
 
-    That one keeps its first words, joined by single spaces, and n_chars follows.
+    So the last document of a source comes in or stays out, whichever is nearer the target; a document without words
+    is taken by no pass.
     """
     held = materialise(docs.withColumns({"_m_size": word_count(text_or_empty("text")), "_m_row": F.monotonically_increasing_id()}), "mixed-rows")
     each = mix(held.select("_m_row", "doc_id", "source", "_m_size"), block, seed).filter("slot is not null")
-    per_pass = each.groupBy(F.col("_m_row").alias("_m_id"), "pass").agg(F.max("high").alias("_m_take"))
-    both = held.join(per_pass, F.col("_m_row") == F.col("_m_id"))
-    first = F.array_join(F.slice(F.filter(F.split("text", SPACE_CLASS + "+"), lambda w: w != ""), F.lit(1), F.col("_m_take").cast("int")), " ")
-    cut = both.withColumn("text", F.when(F.col("_m_take") < F.col("_m_size"), first).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("_m_take") < F.col("_m_size"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+    per_pass = each.groupBy(F.col("_m_row").alias("_m_id"), "_m_size", "pass").agg(F.max("high").alias("_m_take"))
+    taken = per_pass.filter(2 * F.col("_m_take") >= F.col("_m_size")).select("_m_id")
+    return held.join(taken, F.col("_m_row") == F.col("_m_id")).select(*docs.columns)

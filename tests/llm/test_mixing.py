@@ -69,10 +69,29 @@ def test_awkward_rows(spark):
     assert taken_words(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [{"a": 30_000, "b": 10_000, "c": 20_000}, {"a": 900, "b": 4000, "c": 800, "d": 900}, {"a": 3, "b": 1, "c": 2, "d": 3, "e": 1, None: 2}, {"a": 500, "b": 0, "c": 7}, {"a": 10, "b": 9000}])
+def test_targets_of_tied_sources(spark, sizes):
+    """Sources of the same size for their weight, equal sources, and sources that are all but one capped."""
+    docs = spark.createDataFrame([(i, " ".join(["w"] * n), s) for i, (s, n) in enumerate(sizes.items())], "doc_id long, text string, source string")
+    rows = taken_words(docs).collect()
+    check(rows, docs.collect())
+    assert sum(r.target for r in rows) == pytest.approx(1.5 * sum(sizes.values()))
+
+
+def test_targets_when_every_source_is_capped(spark):
+    rows = materialise(spark.createDataFrame([(0, 0, "a", 7), (1, 1, "b", 5)], "_m_row long, doc_id long, source string, _m_size long"), "t")
+    from lucerna.llm.mixing import source_targets
+
+    assert sorted((r.source, r.target) for r in source_targets(rows, share=2.5).collect()) == [("a", 14.0), ("b", 10.0)]
+
+
 def test_mixed_documents(spark):
     docs = awkward(spark)
     mixed = mix_documents(docs)
     assert mixed.columns == docs.columns
-    words = lambda rows: sum(len((r.text or "").encode().split()) for r in rows)
-    assert abs(words(mixed.collect()) - sum(r.taken for r in taken_words(docs).collect())) == 0
+    whole = {tuple(r) for r in docs.collect()}
+    rows = mixed.collect()
+    assert {tuple(r) for r in rows} <= whole
+    expected = sorted((r.doc_id or 0) for r in taken_words(docs).collect() for turn in (0, 1) if r.size and 2 * min(r.size, r.taken - turn * r.size) >= r.size)
+    assert sorted((r.doc_id or 0) for r in rows) == expected
     assert mix_documents(empty(spark)).count() == 0
