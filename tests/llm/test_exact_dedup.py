@@ -1,7 +1,9 @@
 import hashlib
 import re
 
-from lucerna.llm.exact_dedup import exact_dedup, exact_groups
+from pyspark.sql import functions as F
+
+from lucerna.llm.exact_dedup import BROADCAST_WORDS, CELLS, _probe, exact_dedup, exact_groups
 from lucerna.llm.registry import QUERIES
 
 from .helpers import awkward, empty
@@ -27,10 +29,23 @@ def test_query_matches_brute_force(spark, sf_dir):
 
 def test_a_full_filter_gives_the_same_result(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    tight = exact_groups(docs, cells_per_row=1, max_filter_bits=64)
+    tight = exact_groups(docs, cells_per_row=1)
     assert sorted(map(tuple, tight.collect())) == slow([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_a_partitioned_filter_gives_the_same_result(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    apart = exact_groups(docs, broadcast_words=0)
+    assert sorted(map(tuple, apart.collect())) == slow([(r.doc_id, r.text) for r in docs.collect()])
+    assert sorted(r.doc_id for r in exact_dedup(docs, broadcast_words=0).collect()) == sorted(r.doc_id for r in exact_dedup(docs).collect())
+
+
+def test_few_rows_without_an_equal_are_flagged(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.when(F.col("id") < 100, F.lit(0)).otherwise(F.col("id"))).alias("text"))
+    flagged = _probe(docs, "text", CELLS, BROADCAST_WORDS).filter("_dd_flag")
+    assert flagged.filter("doc_id < 100").count() == 100 and flagged.count() < 2500
+
+
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = QUERIES["op10_exact_dedup"](spark, sf_dir)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
