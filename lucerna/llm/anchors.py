@@ -43,6 +43,12 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return _mixed((sums[ends] - sums[starts]) * _DOWN[starts])
 
 
+def depth_keys(part: bytes, side: int) -> np.ndarray:
+    """A key for each beginning of a short string (the empty one first), of its bytes, its length and the side."""
+    sums = prefix_sums(np.frombuffer(part, np.uint8), side)
+    return _mixed(sums + (np.arange(len(sums), dtype=np.uint64) * np.uint64(2) + np.uint64(side)) * np.uint64(_ODD)) | np.uint64(1)
+
+
 def _running_min(x: np.ndarray, width: int) -> np.ndarray:
     """Least of each ``width`` consecutive values, by doubling."""
     span, out = 1, x

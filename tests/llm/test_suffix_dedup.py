@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -73,9 +74,9 @@ def test_comparison_of_units(seed):
         whole = left[14 - offset :] + anchor + right
         more = rng.randint(0, min(offset, len(whole) - length)) if len(whole) >= length else -1
         if more >= 0:
-            members.append((whole[: more + length], offset, more))
-    windows = Counter((m[1] - i, m[0][i : i + length]) for m in set(members) for i in range(m[2] + 1))
-    members = sorted(set(members))
+            members += [(whole[: more + length], offset, more)] * rng.choice([1, 1, 2])
+    windows = Counter((m[1] - i, m[0][i : i + length]) for m in members for i in range(m[2] + 1))
+    members.sort()
     for (raw, offset, more), runs in zip(members, next(repeated_windows([members], length)) if members else []):
         got = {i for a, b in runs for i in range(a, b + 1)}
         assert got == {i for i in range(more + 1) if windows[offset - i, raw[i : i + length]] > 1}
@@ -103,9 +104,32 @@ def test_edited_copies_shared_passages_and_runs(spark):
     check(spark, mutated(random.Random(8)))
 
 
-def test_large_classes_are_counted_by_hash(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "MAX_CLASS", 3)
-    check(spark, mutated(random.Random(9)))
+@pytest.mark.parametrize("split", [2, 3, 7])
+def test_large_classes_are_divided(spark, monkeypatch, split):
+    monkeypatch.setattr(suffix_dedup, "SPLIT", split)
+    check(spark, mutated(random.Random(9 + split)))
+
+
+def test_a_class_of_many_units(spark):
+    """One passage in 2,000 texts, between bytes of their own, some of which are shared by a few."""
+    rng = random.Random(3)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(260))
+    some = ["".join(rng.choice("mnop") for _ in range(120)) for _ in range(40)]
+    texts = [rng.choice(some)[rng.randint(0, 60) :] * (k % 3 > 0) + f"{k:07d}"[: rng.randint(0, 7)] + passage + rng.choice(some)[: rng.randint(0, 120)] + str(k) for k in range(2000)]
+    check(spark, texts)
+
+
+def test_many_copies_take_linear_time(spark):
+    """Repeated rows, with equal and with null ids."""
+    text = "".join(random.Random(5).choice("abcdefgh ") for _ in range(20_000))
+    rows = [(1, text)] * 300 + [(None, text)] * 100 + [(2, text[:300] + "!")]
+    got = deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert Counter((r.doc_id, r.n_removed, r.n_spans) for r in got) == {(1, 20_000, 1): 300, (None, 20_000, 1): 100, (2, 300, 1): 1}
+
+
+def test_a_partitioned_filter_gives_the_same_result(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "FILTER_BITS", 8)
+    check(spark, mutated(random.Random(12)))
 
 
 def test_awkward_rows(spark):
