@@ -13,16 +13,17 @@ import sys
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .model import Config, TableRoles
-from .operators.features import FeatureCache
+from .operators.features import FeatureCache, PseudoLabelCache
 from .plans import lexicon, scenarios
+from .plans.drift import MODES, run_group
 from .plans.engine import Engine
-from .plans.experiments import Experiment, overview, payload, rounds
+from .plans.experiments import Experiment, overview, payload, rounds, selected_rules, usage_report
 from .sources.backends import Endpoint, HttpBackend
-from .sources.datasets import ground_truth, load_dataset, parse_yaml, read_table, save_csv
+from .sources.datasets import StateStore, ground_truth, load_dataset, parse_yaml, read_table, result_table, save_csv
 
 
 def parser() -> argparse.ArgumentParser:
@@ -32,6 +33,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--cold", action="store_true", help="read and write no cache")
     p.add_argument("--certificate", action="store_true", help="compute error certificates")
     p.add_argument("--debug", action=argparse.BooleanOptionalAction, default=False, help="print the whole payload")
+    p.add_argument("--drift", choices=sorted(scenarios.DRIFT_GROUPS), help="answer the second query of each pair of a group with the first one's view")
+    p.add_argument("--mode", choices=MODES, default="selective", help="how drifted queries are answered")
+    p.add_argument("--views", help="folder of the views and the journal of drifted queries")
     p.add_argument("--ls-configs", action="store_true", help="list configuration files below the working folder and stop")
     return p
 
@@ -63,9 +67,18 @@ def configured(spark: SparkSession, given: dict[str, Any], cold: bool) -> Experi
         table = table.withColumn(row_id, F.xxhash64(*table.columns))
     cache = FeatureCache(given["cache"]) if given.get("cache") and not cold else None
     engine = Engine(table, roles, queries, truth, HttpBackend(Endpoint(**given["endpoint"])), row_id, Config(**given.get("settings", {})), cache)
+    if cache:
+        engine.store, engine.pseudo_labels = StateStore(spark, f"{given['cache']}/state"), PseudoLabelCache(given["cache"])
     return Experiment(engine, given.get("overrides", {}))
 
 
+def drifted(spark: SparkSession, given: dict[str, Any], group: str, mode: str, views: str, cold: bool) -> DataFrame:
+    """The pairs of a drift group, as one table."""
+    pairs = scenarios.DRIFT_GROUPS[group]
+    engine = configured(spark, given | {"queries": sorted({q for pair in pairs for q in pair})}, cold).engine
+    return result_table(spark, run_group(engine, group, pairs, mode, views, cold))
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     if args.ls_configs:
@@ -77,7 +90,15 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("lucerna").getOrCreate()
     for path in args.config:
         given = parse_yaml(resolve(path).read_text())
-        out = configured(spark, given, args.cold).table()
+        if args.drift:
+            out = drifted(spark, given, args.drift, args.mode, args.views or f"{given['folder']}/views", args.cold)
+        else:
+            experiment = configured(spark, given, args.cold)
+            experiment.with_certificate = args.certificate
+            out = experiment.table()
+            usage_report(spark, {json.dumps(p["settings"]): p["usage"] for p in experiment.payloads}).show(truncate=False)
+            if args.debug:
+                print(json.dumps(experiment.payloads, indent=1, default=str))
         out.show(truncate=False)
         if given.get("output"):
             save_csv(out, given["output"])
@@ -87,6 +108,7 @@ def main(argv: list[str] | None = None) -> int:
         overview(spark, states, engine.config).show(truncate=60)
         if len(engine.config.dynamic_setting) > 1:
             rounds(spark, states).show(truncate=False)
+        selected_rules(spark, engine, states).show(truncate=False)
         if args.debug:
             print(json.dumps(payload(engine, states), indent=1, default=str))
     return 0

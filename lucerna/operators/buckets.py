@@ -46,6 +46,11 @@ def annotate(rows: DataFrame, labelled: DataFrame, row_id: str) -> DataFrame:
     return rows.join(human, row_id, "left").withColumn("bucket", moved).withColumn("annotated", F.col("_human").isNotNull()).drop("_human")
 
 
+def remaining(rows: DataFrame, labelled: DataFrame, row_id: str) -> DataFrame:
+    """Rows that have no label yet."""
+    return rows.join(labelled.select(row_id), row_id, "left_anti")
+
+
 def stream_statistics(rows: DataFrame, label: str | Column = "label") -> DataFrame:
     """batch_id (null: overall), n, selectivity: one rollup gives each batch and all of them."""
     c = F.col(label) if isinstance(label, str) else label

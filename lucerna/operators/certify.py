@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .batches import shuffle_key
@@ -57,6 +57,12 @@ def f1_bound(bound: float, pi: float) -> float:
     return 2 * (pi - bound) / (2 * pi - bound) if bound < pi else 0.0
 
 
+def f1_bound_column(bound: Column | float, pi: Column) -> Column:
+    """``f1_bound`` of columns."""
+    bound = bound if isinstance(bound, Column) else F.lit(float(bound))
+    return F.when(bound < pi, 2 * (pi - bound) / (2 * pi - bound)).otherwise(F.lit(0.0))
+
+
 def split_annotations(labelled: DataFrame, row_id: str, seed: int, ratio: float = 0.7) -> tuple[DataFrame, DataFrame]:
     """Training and verification rows in a seeded order; ``int(ratio * m + 0.5)`` of m train."""
     m = labelled.count()

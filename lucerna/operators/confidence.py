@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EPS = 1e-6
 #: Share of each end that enters the coreset in the first round.
@@ -49,13 +50,29 @@ def combined_confidence(pi: float, predicted: Column | None, structural: Column
 
 
 def confidence_ranks(rows: DataFrame, row_id: str, confidence: str = "confidence") -> DataFrame:
-    """``rows`` with _place: rank by falling confidence, ties by row id; slices of confidence are ranked apart, so no
-    task has to sort all rows."""
-    sliced = rows.withColumn("_s", F.floor((1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(confidence)))) * 4096))
-    before = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    counts = sliced.groupBy("_s").agg(F.count("*").alias("_n")).select("_s", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_s").orderBy(F.desc(confidence), row_id))
-    return sliced.withColumn("_in", inside).join(counts, "_s").withColumn("_place", F.col("_in") + F.col("_before")).drop("_s", "_in", "_before")
+    """``rows`` with _place: rank by falling confidence, ties by row id. Slices are ranked apart, so no task has to sort all
+    rows; a forest gives few different values, so a slice may also be of one value and a range of row ids."""
+    level = F.floor((1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(confidence)))) * 4096)
+    sliced = rows.withColumn("_u", level).withColumn("_t", id_slice(rows, row_id))
+    # a step of confidence that holds one value is cut by row ids; there are 4097 steps at most
+    several = sliced.groupBy("_u").agg((F.min(confidence) < F.max(confidence)).alias("_many"))
+    sliced = sliced.join(F.broadcast(several), "_u")
+    sliced = sliced.withColumn("_t", F.when(F.col("_many"), F.lit(None)).otherwise(F.col("_t")))
+    before = Window.orderBy("_u", "_t").rowsBetween(Window.unboundedPreceding, -1)
+    counts = sliced.groupBy("_u", "_t").agg(F.count("*").alias("_n")).select(F.col("_u").alias("_v"), F.col("_t").alias("_w"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_u", "_t").orderBy(F.desc(confidence), row_id))
+    joined = sliced.withColumn("_in", inside).join(counts, (F.col("_u") == F.col("_v")) & F.col("_t").eqNullSafe(F.col("_w")))
+    return joined.select(*rows.columns, (F.col("_in") + F.col("_before")).alias("_place"))
+
+
+def id_slice(rows: DataFrame, row_id: str, slices: int = 256) -> Column:
+    """A slice of the row ids, rising with them: equal ranges of numbers, first letters of texts."""
+    if not isinstance(rows.schema[row_id].dataType, T.NumericType):
+        return F.substring(F.col(row_id).cast("string"), 1, 2)
+    low, high = rows.agg(F.min(row_id).cast("double"), F.max(row_id).cast("double")).first()
+    if low is None or high <= low:
+        return F.lit(0).cast("long")
+    return F.floor((F.col(row_id).cast("double") - F.lit(low)) / F.lit(high - low) * slices)
 
 
 def select_empirical(rows: DataFrame, row_id: str, pi: float, confidence: str = "confidence", share: float = EMPIRICAL) -> DataFrame:

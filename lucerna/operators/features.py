@@ -96,7 +96,8 @@ def table_fingerprint(df: DataFrame, columns: list[str]) -> str:
 class FeatureCache:
     """Feature values as Parquet below one folder, a table for each feature and backend, keyed by the source value.
 
-    Hits are joined; only source values not there yet go to the backend, each distinct one once.
+    Hits are joined, by a hash and the value itself; only source values not there yet go to the backend, each distinct one
+    once. Values that the backend can't answer are not kept, so that a later run asks again.
     """
 
     def __init__(self, root: str, enabled: bool = True):
@@ -109,17 +110,52 @@ class FeatureCache:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(self.path(spec, backend))
         if not self.enabled or not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
             return None
-        return spark.read.schema(T.StructType([T.StructField("_k", T.LongType()), T.StructField(spec.target, T._parse_datatype_string(spec.kind.sql))])).parquet(self.path(spec, backend))
+        fields = [T.StructField("_k", T.LongType()), T.StructField("_v", T.StringType()), T.StructField(spec.target, T._parse_datatype_string(spec.kind.sql))]
+        return spark.read.schema(T.StructType(fields)).parquet(self.path(spec, backend))
 
     def materialise(self, df: DataFrame, spec: FeatureSpec, backend) -> DataFrame:
         """``df`` with the feature's column."""
         if not self.enabled:
             return backend.extract(df, [spec])
         spark = df.sparkSession
-        key = row_hash([spec.source])
-        values = df.select(key.alias("_k"), F.col(spec.source)).dropDuplicates(["_k"])
+        key, text = row_hash([spec.source]), _as_text(df, spec.source)
+        values = df.select(key.alias("_k"), text.alias("_v"), F.col(spec.source)).dropDuplicates(["_k", "_v"])
         known = self.read(spark, spec, backend.name)
-        missing = values if known is None else values.join(known.select("_k"), "_k", "left_anti")
-        backend.extract(missing, [spec]).select("_k", spec.target).write.mode("append").parquet(self.path(spec, backend.name))
-        table = self.read(spark, spec, backend.name).dropDuplicates(["_k"])
-        return df.withColumn("_k", key).join(table, "_k", "left").drop("_k")
+        same = lambda o: (F.col("_k") == F.col("_ok")) & F.col("_v").eqNullSafe(F.col("_ov"))
+        renamed = lambda o: o.withColumnsRenamed({"_k": "_ok", "_v": "_ov"})
+        missing = values if known is None else values.join(renamed(known.select("_k", "_v")), same(known), "left_anti")
+        answered = backend.extract(missing, [spec]).select("_k", "_v", spec.target).filter(F.col(spec.target).isNotNull())
+        answered.write.mode("append").parquet(self.path(spec, backend.name))
+        table = renamed(self.read(spark, spec, backend.name).dropDuplicates(["_k", "_v"]))
+        return df.withColumn("_k", key).withColumn("_v", text).join(table, same(table), "left").drop("_k", "_v", "_ok", "_ov")
+
+
+def _as_text(df: DataFrame, column: str) -> Column:
+    """The value as text; binary values (images) by a digest."""
+    return F.sha2(F.col(column), 256) if isinstance(df.schema[column].dataType, T.BinaryType) else F.col(column).cast("string")
+
+
+class PseudoLabelCache:
+    """Pseudo-labels of a query's candidates as Parquet below one folder.
+
+    The key is of the predicates, the backend, and the values of the columns these read, whatever the order of rows: a
+    changed text gives another key.
+    """
+
+    def __init__(self, root: str, enabled: bool = True):
+        self.root, self.enabled = root.rstrip("/"), enabled
+
+    def path(self, rows: DataFrame, row_id: str, specs: list[FeatureSpec], backend: str) -> str:
+        columns = [row_id, *sorted({s.source for s in specs})]
+        return f"{self.root}/pseudo-{context_key(specs, backend)}-{table_fingerprint(rows, columns)[:16]}"
+
+    def labelled(self, rows: DataFrame, row_id: str, specs: list[FeatureSpec], backend: str, make) -> DataFrame:
+        """``rows`` with ``proxy``; ``make(rows)`` adds it where the folder lacks it."""
+        if not self.enabled:
+            return make(rows)
+        spark, path = rows.sparkSession, self.path(rows, row_id, specs, backend)
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            make(rows).select(row_id, "proxy").write.mode("overwrite").parquet(path)
+        held = spark.read.parquet(path).withColumnRenamed(row_id, "_p_id")
+        return rows.join(held, F.col(row_id) == F.col("_p_id"), "left").withColumn("proxy", F.coalesce("proxy", F.lit(False))).drop("_p_id")

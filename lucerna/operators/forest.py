@@ -1,4 +1,4 @@
-"""Random forests for small labelled samples, in NumPy; scored on tables of any size by Arrow batches.
+"""Random forests for small labelled samples, in NumPy; scored on tables of any size by plain SQL expressions.
 
 Gini splits, bootstrap rows, the square root of the features tried at each split, sample weights. Semantics follow
 the usual parameters; trees are not bit for bit those of another library.
@@ -114,14 +114,25 @@ class Forest:
     def predict(self, x: np.ndarray) -> np.ndarray:
         return (self.probability(x) > 0.5).astype(int)
 
-    def column(self) -> Column:
-        """P(label = 1) of a row, from its feature columns; missing values count as zero."""
+    def sql(self, quote: str = "`", number: str = "{!r}D") -> str:
+        """P(label = 1) as one SQL expression of the feature columns; missing values count as zero. Equal trees, and so
+        those of one leaf, are written once with their number."""
+        name = lambda f: f"coalesce(cast({quote}{self.names[f]}{quote} as double), {number.format(0.0)})"
+
+        def node(tree: Tree, at: int) -> str:
+            if tree.feature[at] < 0:
+                return number.format(float(tree.value[at]))
+            return f"CASE WHEN {name(tree.feature[at])} <= {number.format(float(tree.threshold[at]))} THEN {node(tree, tree.left[at])} ELSE {node(tree, tree.right[at])} END"
 
-        @F.pandas_udf("double")
-        def each(*columns: pd.Series) -> pd.Series:
-            return pd.Series(self.probability(np.stack([c.to_numpy(float) for c in columns], axis=1)))
+        times: dict[str, int] = {}
+        for text in (node(t, 0) for t in self.trees):
+            times[text] = times.get(text, 0) + 1
+        total = " + ".join(f"{number.format(float(k))} * ({text})" for text, k in times.items())
+        return f"({total}) / {number.format(float(len(self.trees)))}"
 
-        return each(*[F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in self.names])
+    def column(self) -> Column:
+        """P(label = 1) of a row, from its feature columns: a plain expression, without Python workers."""
+        return F.expr(self.sql())
 
 
 def train(x: np.ndarray, y: np.ndarray, names: list[str], config: ForestConfig = CONFIDENCE, weight: np.ndarray | None = None, seed: int = 42) -> Forest:

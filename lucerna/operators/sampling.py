@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import as_bool
@@ -14,7 +14,7 @@ from .batches import shuffle_key
 RANDOM, ADAPTIVE, HYBRID = "random", "adaptive", "hybrid"
 #: Anchors of a stratum, at most.
 ANCHORS = 2
-#: Hashed terms of the text vectors that diversity is measured with.
+#: Terms of the text vectors that diversity is measured with: the most frequent ones.
 TERMS = 8192
 
 # Words that carry no topic.
@@ -47,17 +47,18 @@ def positive_count(budget: int, positive: int, negative: int) -> int:
 
 
 def text_terms(column: str) -> Column:
-    """Lower-case words and word pairs of a text without stop words, hashed to ``TERMS`` terms."""
+    """Lower-case words and word pairs of a text without stop words."""
     words = F.filter(F.split(F.lower(F.coalesce(F.col(column).cast("string"), F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: (F.length(w) > 1) & ~w.isin(STOP_WORDS))
     pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    return F.transform(F.concat(words, pairs), lambda t: F.pmod(F.xxhash64(t), F.lit(TERMS)).cast("int"))
+    return F.concat(words, pairs)
 
 
 def text_vectors(rows: DataFrame, row_id: str, column: str) -> DataFrame:
-    """row_id, term, x: unit TF-IDF vectors with idf = ln((1 + n) / (1 + df)) + 1."""
+    """row_id, term, x: unit TF-IDF vectors over the ``TERMS`` most frequent terms, with idf = ln((1 + n) / (1 + df)) + 1."""
     n = rows.count()
     tf = rows.select(row_id, F.explode(text_terms(column)).alias("term")).groupBy(row_id, "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    # at most TERMS short rows
+    df = F.broadcast(tf.groupBy("term").agg(F.sum("tf").alias("_all"), F.count("*").alias("df")).orderBy(F.desc("_all"), "term").limit(TERMS).select("term", "df"))
     idf = F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0
     raw = tf.join(df, "term").select(row_id, "term", (F.col("tf") * idf).alias("x"))
     norm = raw.groupBy(row_id).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
@@ -65,16 +66,17 @@ def text_vectors(rows: DataFrame, row_id: str, column: str) -> DataFrame:
 
 
 def diverse_rows(rows: DataFrame, row_id: str, column: str, count: int) -> list:
-    """Ids of ``count`` rows far apart: the one nearest the centroid, then each least like all chosen so far."""
+    """Ids of ``count`` rows far apart: the one nearest the centroid, then each least like all chosen so far (to nine digits;
+    of equals the least id)."""
     vectors = text_vectors(rows, row_id, column).cache()
     try:
-        centroid = vectors.groupBy("term").agg(F.avg("x").alias("c"))
+        centroid = vectors.groupBy("term").agg((F.sum("x") / max(1, rows.count())).alias("c"))
         like = vectors.join(centroid, "term").groupBy(row_id).agg(F.sum(F.col("x") * F.col("c")).alias("s"))
-        chosen = [r[0] for r in rows.select(row_id).join(like, row_id, "left").orderBy(F.desc(F.coalesce("s", F.lit(0.0))), row_id).limit(min(1, count)).collect()]
+        chosen = [r[0] for r in rows.select(row_id).join(like, row_id, "left").orderBy(F.desc(F.round(F.coalesce("s", F.lit(0.0)), 9)), row_id).limit(min(1, count)).collect()]
         while chosen and len(chosen) < count:
             picked = vectors.filter(F.col(row_id).isin(chosen)).select(F.col(row_id).alias("_c"), "term", F.col("x").alias("_x"))
             near = vectors.join(picked, "term").groupBy(row_id, "_c").agg(F.sum(F.col("x") * F.col("_x")).alias("s")).groupBy(row_id).agg(F.max("s").alias("s"))
-            following = rows.select(row_id).filter(~F.col(row_id).isin(chosen)).join(near, row_id, "left").orderBy(F.coalesce("s", F.lit(0.0)), row_id).limit(1).collect()
+            following = rows.select(row_id).filter(~F.col(row_id).isin(chosen)).join(near, row_id, "left").orderBy(F.round(F.coalesce("s", F.lit(0.0)), 9), row_id).limit(1).collect()
             if not following:
                 break
             chosen.append(following[0][0])
@@ -138,11 +140,13 @@ def select_sample(rows: DataFrame, row_id: str, budget: int, strategy: str, seed
 
 def stratified_table(rows: DataFrame, row_id: str, stratum: str, budget: int, seed: int) -> DataFrame:
     """The same allotment as one declarative plan: row_id, stratum, population_size of the rows to label."""
-    by = Window.partitionBy(stratum)
-    place = F.row_number().over(by.orderBy(shuffle_key(seed, row_id), row_id))
     sizes = {bool(r[0]): r["count"] for r in rows.groupBy(stratum).count().collect()}
     budget = clamped_budget(budget, sum(sizes.values()))
     take = positive_count(budget, sizes.get(True, 0), sizes.get(False, 0))
-    quota = F.when(F.col(stratum), take).otherwise(budget - take)
-    counted = rows.withColumn("_place", place).withColumn("population_size", F.when(F.col(stratum), sizes.get(True, 0)).otherwise(sizes.get(False, 0)).cast("long"))
-    return counted.filter(F.col("_place") <= quota).select(row_id, F.col(stratum).alias("stratum"), "population_size")
+
+
+    def part(value: bool, count: int) -> DataFrame:  # a limited sort keeps no more than ``count`` rows of a task
+        of = rows.filter(F.col(stratum) == F.lit(value)).select(row_id, F.lit(value).alias("stratum"), F.lit(sizes.get(value, 0)).cast("long").alias("population_size"))
+        return of.orderBy(shuffle_key(seed, row_id), row_id).limit(count)
+
+    return part(True, take).unionAll(part(False, budget - take))

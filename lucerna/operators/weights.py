@@ -1,20 +1,26 @@
-"""Sample weights, selectivity estimates and losses: aggregates with windows, and the same sums on the driver."""
+"""Sample weights, selectivity estimates and losses: small aggregates joined back, and the same sums on the driver."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Classes or strata that weights are given for, at most.
+MOST_CLASSES = 1000
+
+
 def class_balanced(df: DataFrame, label: str = "label", weight: str | None = None, name: str = "weight") -> DataFrame:
     """Weights with the same mass, 1 / number of classes, for every class."""
     base = F.col(weight) if weight else F.lit(1.0)
-    mass = F.sum(base).over(Window.partitionBy(label))
-    classes = df.agg(F.countDistinct(label)).first()[0]
-    return df.withColumn(name, base / (mass * F.lit(float(max(1, classes)))))
+    masses = {r["l"]: r["m"] for r in df.groupBy(F.col(label).alias("l")).agg(F.sum(base).alias("m")).limit(MOST_CLASSES + 1).collect()}
+    if len(masses) > MOST_CLASSES:
+        raise ValueError(f"{label} has more than {MOST_CLASSES} classes")
+    classes = float(max(1, len(set(masses) - {None})))
+    return df.withColumn(name, base / (_by_value(df, label, masses) * F.lit(classes)))
 
 
 def balanced_weights(labels: np.ndarray, base: np.ndarray | None = None) -> np.ndarray:
@@ -26,9 +32,21 @@ def balanced_weights(labels: np.ndarray, base: np.ndarray | None = None) -> np.n
 
 def sampling_weights(df: DataFrame, stratum: str, population: Column, name: str = "weight") -> DataFrame:
     """Inverse inclusion rates, population over sample of each stratum, with mean one."""
-    raw = population / F.count("*").over(Window.partitionBy(stratum))
-    mean = df.select(raw.alias("w")).agg(F.avg("w").alias("m")).first()["m"]
-    return df.withColumn(name, raw / F.lit(mean)) if mean else df.withColumn(name, raw)
+    sums = df.groupBy(F.col(stratum).alias("l")).agg(F.count("*").alias("n"), F.sum(population).alias("p")).limit(MOST_CLASSES + 1).collect()
+    if len(sums) > MOST_CLASSES:
+        raise ValueError(f"{stratum} has more than {MOST_CLASSES} values")
+    n, mass = sum(r["n"] for r in sums), sum((r["p"] or 0) / r["n"] for r in sums)
+    raw = population / _by_value(df, stratum, {r["l"]: r["n"] for r in sums})
+    return df.withColumn(name, raw / F.lit(mass / n)) if n and mass else df.withColumn(name, raw)
+
+
+def _by_value(df: DataFrame, column: str, values: dict) -> Column:
+    """What ``values`` has for the column's value: a projection, so that no class meets in one task."""
+    out = F.lit(None).cast("double")
+    for key, value in values.items():
+        test = F.col(column).isNull() if key is None else F.col(column) == F.lit(key)
+        out = F.when(test, F.lit(float(value))).otherwise(out)
+    return out
 
 
 def beta_selectivity(positive: tuple[int, int, int], negative: tuple[int, int, int]) -> float:

@@ -7,6 +7,7 @@ other runs in full.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -18,6 +19,7 @@ from ..functions.predicates import apply_rules, rules_text
 from ..model import SEMANTIC_PREFIX, Rules, SemCQ
 from ..operators import buckets as B
 from ..operators.quality import Quality, quality
+from ..sources.datasets import append_journal
 from .engine import Engine, QueryState
 
 MODES = ("rerun", "reuse", "align", "selective")
@@ -65,6 +67,32 @@ class Outcome:
         return {"first": first, "second": second, "mode": mode, "route": self.route, "relation": self.relation, "rules": rules_text(self.rules), "f1": self.quality.f1, "err": self.quality.err}
 
 
+def state_path(root: str, group: str, query: str, engine: Engine) -> str:
+    """Where the view of a query lives: runs of other settings or backends have other folders."""
+    key = hashlib.sha1(f"{engine.config}|{engine.backend.name}".encode()).hexdigest()[:12]
+    return f"{root.rstrip('/')}/{group}/{query}-{key}"
+
+
+def view_of(engine: Engine, name: str, path: str, fresh: bool = False) -> View:
+    """The view of an answered query: loaded if it is there, else the query runs and its view is saved."""
+    spark = engine.spark
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/state/_SUCCESS")
+    if fresh or not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        View.of(engine, engine.run_query(name, engine.partition())).save(path)
+    return View.load(spark, path, engine.queries[name])
+
+
+def run_group(engine: Engine, group: str, pairs: list[tuple[str, str]], mode: str, root: str, fresh: bool = False) -> list[dict[str, Any]]:
+    """Each pair's second query, answered with the help of the first one's view; a line for each goes to the journal."""
+    out = []
+    for first, second in pairs:
+        engine.backend.reset_usage()
+        outcome = route(engine, second, view_of(engine, first, state_path(root, group, first, engine), fresh), mode)
+        out.append(outcome.row(first, second, mode) | {"group": group} | engine.backend.usage())
+    append_journal(engine.spark, f"{root.rstrip('/')}/journal", out)
+    return out
+
+
 def answer_by_rules(view: View, rules: Rules, selected: list[str]) -> DataFrame:
     """Rows of the view that the rules accept, and rows annotated as true."""
     rows = apply_rules(view.rows, rules)

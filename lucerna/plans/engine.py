@@ -8,23 +8,24 @@ and losses reach the driver.
 from __future__ import annotations
 
 import time
+import uuid
 from dataclasses import dataclass, field, replace
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.predicates import apply_rules, known_groups, rules_text
 from ..functions.text import serialised
-from ..model import Config, FeatureSpec, Modality, Rules, SemCQ, TableRoles, semantic_feature
+from ..model import Config, FeatureSpec, Kind, Modality, Predicate, Rules, SemCQ, SemPredicate, TableRoles, Ucq, normal_prompt, semantic_feature
 from ..operators import buckets as B
 from ..operators.batches import shuffle_key, with_batches
 from ..operators.certify import Certificate, certificate, f1_bound
 from ..operators.confidence import class_distance, combined_confidence, select_empirical, select_incremental, structural_confidence, weighted_features
-from ..operators.features import FeatureCache, accepted, predicate_budgets, rank_features, with_mandatory
+from ..operators.features import FeatureCache, PseudoLabelCache, accepted, predicate_budgets, rank_features, table_fingerprint, with_mandatory
 from ..operators.forest import CONFIDENCE, Forest, ForestConfig, choose_depth, importances, loo_grid, propagate, train
 from ..operators.profile import label_codes, moments
 from ..operators.quality import Quality, bucket_quality
@@ -32,8 +33,9 @@ from ..operators.rewrite import Candidate, arity, best_candidate, candidates, ex
 from ..operators.sampling import Selection, select_sample, strategy_for
 from ..operators.weights import balanced_weights, beta_selectivity, objective_penalty, weighted_loss
 from ..sources.backends import SemanticBackend
+from ..sources.datasets import StateStore
 
-#: Pseudo-labelled rows that a forest is fitted on, at most.
+#: Pseudo-labelled rows that a forest is fitted on, at most, by default: the setting ``most_pseudo`` of an engine.
 MOST_PSEUDO = 2_000
 #: How much the penalties weigh in the static loss.
 PENALTY = 0.01
@@ -113,7 +115,8 @@ class Engine:
     """Runs queries over one table.
 
     ``truth`` has, for each query, the keys (``selected`` columns) of its true rows: what a human annotator answers.
-    ``row_id`` names a unique column. ``cache`` is a folder for materialised features, if any.
+    ``row_id`` names a unique column. ``cache`` is a folder for materialised features, if any, and ``store`` one for
+    proposals, prefilters and certificates. A backend whose answers cost something always has a cache, for the run at least.
     """
 
     table: DataFrame
@@ -125,6 +128,14 @@ class Engine:
     config: Config = field(default_factory=Config)
     cache: FeatureCache | None = None
     seconds: dict[str, float] = field(default_factory=dict)
+    store: StateStore | None = None
+    pseudo_labels: PseudoLabelCache | None = None
+    most_pseudo: int = MOST_PSEUDO
+
+    def __post_init__(self):
+        if self.cache is None and not self.backend.repeatable:
+            shared = self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.sparkContext.getConf().get("spark.checkpoint.dir")
+            self.cache = FeatureCache(f"{shared.rstrip('/')}/features-{uuid.uuid4().hex}") if shared else None
 
     @property
     def spark(self) -> SparkSession:
@@ -144,17 +155,40 @@ class Engine:
         """Static filter, truth and prefilter."""
         query = self.queries[name]
         rows = B.with_truth(B.initialise(batched, query, name), self.truth[name], list(query.selected))
-        groups = known_groups(self.backend.prefilter(query, self.table), self.table.columns)
+        groups = known_groups(self._prefilter(query), self.table.columns)
         rows = B.refine(rows, groups).withColumn("annotated", F.lit(False))
         return QueryState(name, query, rows, base=[c for c in self.roles.base if c in self.table.columns])
 
+    def _prefilter(self, query: SemCQ) -> Ucq:
+        """The backend's prefilter, from the store if one is there whose columns all exist."""
+        if self.store is None:
+            return self.backend.prefilter(query, self.table)
+        key = f"prefilter|{self.backend.name}|{[_predicate_key(p) for p in query.semantics]}|{sorted(self.table.columns)}"
+        held = self.store.get(key, lambda v: all(p["field"] in self.table.columns for g in v for p in g))
+        if held is None:
+            groups = self.backend.prefilter(query, self.table)
+            self.store.put(key, [[{"field": p.field, "op": p.op, "value": p.value} for p in g] for g in groups])
+            return groups
+        return [[Predicate(**p) for p in g] for g in held]
+
+    def _proposals(self, p: SemPredicate, budget: int) -> list[FeatureSpec]:
+        """Proposals for a predicate, from the store if it has them; they depend on the predicate and the budget only."""
+        key = f"propose|{self.backend.name}|{_predicate_key(p)}|{budget}"
+        held = self.store.get(key) if self.store else None
+        if held is not None:
+            return [FeatureSpec(x["source"], Modality(x["modality"]), x["target"], x["prompt"], Kind(x["kind"])) for x in held]
+        specs = self.backend.propose(p, self.table.columns, budget)
+        if self.store:
+            self.store.put(key, [{"source": s.source, "modality": s.modality.value, "target": s.target, "prompt": s.prompt, "kind": s.kind.value} for s in specs])
+        return specs
+
     def propose(self, state: QueryState) -> None:
         """Mandatory features of the predicates, and proposals within the feature budget."""
         proposed, taken = [], set()
         budgets = predicate_budgets(len(state.query.semantics), self.config.b_fs)
         for p, budget in zip(state.query.semantics, budgets, strict=True):
             if self.config.enable_enrich:
-                proposed += accepted(self.backend.propose(p, self.table.columns, budget), p, self.table.columns, taken, budget)
+                proposed += accepted(self._proposals(p, budget), p, self.table.columns, taken, budget)
         state.features = with_mandatory(state.query, proposed)
 
     def extract(self, rows: DataFrame, specs: list[FeatureSpec]) -> DataFrame:
@@ -170,11 +204,10 @@ class Engine:
     def annotate(self, state: QueryState) -> None:
         """Choose rows of batch 0, label them, and move them out of the candidates. One class only: try other seeds."""
         mandatory = [semantic_feature(p) for p in state.query.semantics]
-        pool = self.extract(self.candidates_of(state), mandatory)
-        guess = F.lit(True)
-        for s in mandatory:
-            guess = guess & F.coalesce(F.col(s.target), F.lit(False))
-        pool = pool.withColumn("proxy", guess)
+        make = lambda rows: self.extract(rows, mandatory).withColumn("proxy", all_hold(mandatory))
+        pool = self.candidates_of(state)
+        pool = self.pseudo_labels.labelled(pool, self.row_id, mandatory, self.backend.name, make) if self.pseudo_labels else make(pool)
+        pool = pool.persist()
         texts = [p.field for p in state.query.semantics if p.modality.is_text]
         strategy = strategy_for(bool(texts), bool(state.query.semantics))
         for seed in [self.config.random_seed, *range(43)]:
@@ -183,6 +216,7 @@ class Engine:
             labels = {r[0]: bool(r[1]) for r in chosen.collect()} if chosen is not None else {}
             if len(set(labels.values())) == 2 or len(labels) < 2:
                 break
+        pool.unpersist()
         state.selection = selection
         if labels:
             human = self.spark.createDataFrame(list(labels.items()), T.StructType([self.table.schema[self.row_id], T.StructField("human", T.BooleanType())]))
@@ -238,7 +272,7 @@ class Engine:
             picked = select_empirical(scored, self.row_id, state.pi)
         else:
             picked = select_incremental(scored, self.row_id, state.pi, *state.bounds)
-        some = picked.orderBy(shuffle_key(self.config.random_seed, self.row_id), self.row_id).limit(MOST_PSEUDO).toPandas()
+        some = picked.orderBy(shuffle_key(self.config.random_seed, self.row_id), self.row_id).limit(self.most_pseudo).toPandas()
         r = picked.agg(F.min("confidence"), F.max("confidence")).first()
         if r[0] is not None:
             state.bounds = (r[0], r[1])
@@ -325,6 +359,14 @@ class Engine:
         hit = (F.col("bucket") == B.SELECTED) | ((F.col("bucket") == B.CANDIDATE) & (F.col("predicted") == 1))
         return rows.filter(hit).select(*state.query.selected).distinct()
 
+    def answer_over(self, table: DataFrame, state: QueryState) -> DataFrame:
+        """The rules' answer over another table of the same columns: the static filter, the features that the rules read, and
+        the rules. Nothing is learned, so the plan is one scan without any exchange but the final one."""
+        rules = self.raw_rules(state)
+        read = {f for r in rules for f, _, _ in r}
+        rows = self.extract(B.initialise(table, state.query, state.name), [s for s in state.features if s.target in read])
+        return apply_rules(rows, rules).filter("predicted = 1").select(*state.query.selected).distinct()
+
     def certify(self, state: QueryState, ratio: float = 0.7) -> None:
         """Learn again from a part of the annotations, and bound the final rules' errors by the rest."""
         held = state.labelled
@@ -377,7 +419,13 @@ class Engine:
     def run(self, with_certificate: bool = False) -> dict[str, QueryState]:
         """All queries; then, with several batches, their updates."""
         batched = self.partition().persist()
-        states = {n: self.run_query(n, batched, with_certificate) for n in self.queries}
+        held = self._held_certificates() if with_certificate else None
+        states = {n: self.run_query(n, batched, with_certificate and held is None) for n in self.queries}
+        for n, s in states.items() if held else ():
+            s.certificate = Certificate(**held[n])
+            s.f1_bound = f1_bound(s.certificate.bound, s.pi)
+        if with_certificate and held is None and self.store:
+            self.store.put(self._certificate_key(), {n: vars(s.certificate) for n, s in states.items()})
         if len(self.config.dynamic_setting) > 1:
             from ..streaming.incremental import run_rounds
 
@@ -387,10 +435,29 @@ class Engine:
             self._timed("incremental", began)
         return states
 
+    def _certificate_key(self) -> str:
+        """All that certificates depend on: queries, settings, backend and the rows' ids."""
+        return f"certificate|{self.backend.name}|{sorted((n, repr(q)) for n, q in self.queries.items())}|{self.config}|{table_fingerprint(self.table, [self.row_id])}"
+
+    def _held_certificates(self) -> dict[str, dict] | None:
+        return self.store.get(self._certificate_key(), lambda v: set(v) == set(self.queries)) if self.store else None
+
     def trace(self, states: dict[str, QueryState]) -> list[dict[str, Any]]:
         return [row for s in states.values() for row in s.trace(self.config)]
 
 
+def all_hold(specs: list[FeatureSpec]) -> Column:
+    """Do all Boolean features of a row hold? A missing one doesn't."""
+    out = F.lit(True)
+    for s in specs:
+        out = out & F.coalesce(F.col(s.target), F.lit(False))
+    return out
+
+
+def _predicate_key(p: SemPredicate) -> tuple[str, str, str]:
+    return p.field, p.modality.value, normal_prompt(p.prompt or p.condition)
+
+
 def _matrix(held: pd.DataFrame, names: list[str]) -> np.ndarray:
     if not len(held) or not names:
         return np.zeros((len(held), len(names)))

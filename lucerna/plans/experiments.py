@@ -8,9 +8,11 @@ from itertools import product
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.predicates import rules_column, rules_text
 from ..model import Config, SemCQ
-from ..sources.datasets import StateStore, result_table
+from ..sources.datasets import result_table
 from .engine import Engine, QueryState
 
 
@@ -53,36 +55,26 @@ class Experiment:
     overrides: dict[str, list[Any]] = field(default_factory=dict)
     fields: tuple[str, ...] = ("pred_eval.f1", "trans_eval.f1", "L_static", "L_rew", "penalty_rew", "L_obj", "L_LOO", "penalty_LOO", "L_subj", "selectivity", "features")
     which: str | int | list[int] = "ALL"
+    with_certificate: bool = False
+    payloads: list[dict[str, Any]] = field(default_factory=list)
 
     def rows(self) -> list[dict[str, Any]]:
         out = []
+        self.payloads.clear()
         for settings in grid(self.overrides):
             engine = replace(self.engine, config=replace(self.engine.config, **settings), seconds={})
-            states = engine.run()
-            out += [settings | r for s in states.values() for r in collect(s.trace(engine.config), list(self.fields), self.which)]
+            engine.backend.reset_usage()
+            states = engine.run(self.with_certificate)
+            self.payloads.append({"settings": settings} | payload(engine, states))
+            for s in states.values():
+                bounds = {"bound": s.certificate.bound, "f1_bound": s.f1_bound} if s.certificate else {}
+                out += [settings | r | bounds for r in collect(s.trace(engine.config), list(self.fields), self.which)]
         return out
 
     def table(self) -> DataFrame:
         return result_table(self.engine.spark, self.rows())
 
 
-# -- certificates that outlive a run ------------------------------------------------------------------------------
-
-
-def certificate_key(scenario: str, queries: list[str], config: Config) -> str:
-    """All that a certificate depends on, seed and budgets included."""
-    return f"{scenario}|{','.join(sorted(queries))}|{config}"
-
-
-def cached_certificates(store: StateStore, key: str, states: dict[str, QueryState]) -> dict[str, float]:
-    """Certificates of a run, from the store if it has them for the same settings."""
-    held = store.get(key, lambda v: set(v) == set(states))
-    if held is None:
-        held = {n: s.certificate.bound for n, s in states.items() if s.certificate}
-        store.put(key, held)
-    return held
-
-
 # -- reports ------------------------------------------------------------------------------------------------------
 
 
@@ -105,11 +97,33 @@ def rounds(spark: SparkSession, states: dict[str, QueryState]) -> DataFrame:
     return result_table(spark, [{"query": n} | r for n, s in states.items() for r in s.rounds])
 
 
+def selected_rules(spark: SparkSession, engine: Engine, states: dict[str, QueryState]) -> DataFrame:
+    """One row for each rule of the chosen rewrites, over the table's own columns, with the rows it accepts alone."""
+    rows = []
+    for n, s in states.items():
+        rules = engine.raw_rules(s)
+        columns = [rules_column([r], s.rows.schema) for r in rules]
+        hits = s.rows.agg(*[F.sum(c).alias(f"r{i}") for i, c in enumerate(columns)]).first() if rules else []
+        rows += [{"query": n, "rule": i, "text": rules_text([r]), "accepted": hits[i] or 0} for i, r in enumerate(rules)]
+    return result_table(spark, rows)
+
+
+def usage_report(spark: SparkSession, parts: dict[str, dict[str, float]]) -> DataFrame:
+    """Calls, tokens and costs of each run, and of all of them."""
+    return result_table(spark, [{"run": n} | u for n, u in parts.items()] + [{"run": "all"} | usage_totals(list(parts.values()))])
+
+
+def footprint(df: DataFrame) -> int:
+    """Bytes that the optimizer expects of a table: files read, or rows times their width."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def payload(engine: Engine, states: dict[str, QueryState]) -> dict[str, Any]:
     """The result of a run as plain values."""
     return {
         "seconds": dict(engine.seconds), "usage": engine.backend.usage(), "trace": engine.trace(states), "L_avg": average_loss(states, engine.config),
         "certificates": {n: s.certificate.bound for n, s in states.items() if s.certificate}, "rounds": {n: s.rounds for n, s in states.items()},
+        "bytes": {n: footprint(s.rows) for n, s in states.items()},
     }
 
 

@@ -1,7 +1,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from lucerna.plans import catalogue
+from lucerna.plans import catalogue, coverage  # noqa: F401
 
 from .oracle import same
 

@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,8 +8,9 @@ from lucerna.model import SemCQ
 from lucerna.operators import buckets as B
 from lucerna.plans import lexicon
 from lucerna.plans.catalogue import demonstration_engine
-from lucerna.plans.drift import MODES, View, route, valid_rules
-from lucerna.plans.experiments import average_loss, certificate_key, cached_certificates, overview, payload, rounds
+from lucerna.operators.features import PseudoLabelCache
+from lucerna.plans.drift import MODES, View, route, run_group, state_path, valid_rules
+from lucerna.plans.experiments import Experiment, average_loss, footprint, overview, payload, rounds, selected_rules, usage_report
 from lucerna.sources.datasets import StateStore
 from lucerna.streaming.incremental import Feed, windowed_counts
 
@@ -42,10 +45,56 @@ def test_trace_and_reports(spark, done, tmp_path):
     trace = engine.trace(states)
     assert sum(t["chosen"] for t in trace) == 1 and all(t["L_static"] == pytest.approx(t["L_subj"] + t["L_obj"]) for t in trace)
     assert overview(spark, states, engine.config).count() == 1 and rounds(spark, states).count() == 1 and average_loss(states, engine.config) >= 0
-    assert set(payload(engine, states)) == {"seconds", "usage", "trace", "L_avg", "certificates", "rounds"}
-    store, key = StateStore(spark, str(tmp_path)), certificate_key("s", ["toxic"], engine.config)
-    first = cached_certificates(store, key, states)
-    assert cached_certificates(store, key, states) == first == {"toxic": states["toxic"].certificate.bound}
+    assert set(payload(engine, states)) == {"seconds", "usage", "trace", "L_avg", "certificates", "rounds", "bytes"}
+    listed = selected_rules(spark, engine, states).collect()
+    assert len(listed) == len(states["toxic"].rules) and all(int(r.accepted) >= 0 and r.text for r in listed)
+    assert usage_report(spark, {"a": {"calls": 1}, "b": {"calls": 2}}).filter("run = 'all' and calls = '3'").count() == 1
+    assert footprint(engine.table) > 0
+    everywhere = engine.answer_over(spark.read.parquet(f"{DATA}/documents.parquet"), states["toxic"])
+    assert engine.answer("toxic", states["toxic"]).join(everywhere, "doc_id", "left_anti").filter("doc_id is null").count() == 0
+    assert everywhere.count() >= apply_rules(states["toxic"].rows, states["toxic"].rules).filter("predicted = 1").count()
+
+
+def test_proposals_prefilters_and_certificates_are_kept(spark, tmp_path):
+    """A second run asks the backend for neither, and takes the certificates as they are."""
+    engine = demonstration_engine(spark, DATA)
+    engine.queries, engine.store = {"toxic": lexicon.toxic_query()}, StateStore(spark, str(tmp_path / "state"))
+    engine.pseudo_labels = PseudoLabelCache(str(tmp_path / "pseudo"))
+    first = engine.run(True)["toxic"]
+    asked = []
+
+    class Counted(type(engine.backend)):
+        def propose(self, *args):
+            asked.append("propose")
+            return super().propose(*args)
+
+        def prefilter(self, *args):
+            asked.append("prefilter")
+            return super().prefilter(*args)
+
+    engine.backend.__class__ = Counted
+    again = engine.run(True)["toxic"]
+    assert not asked and again.certificate == first.certificate and again.f1_bound == first.f1_bound and again.rules == first.rules
+    engine.config = replace(engine.config, delta=0.3)
+    assert engine._held_certificates() is None
+
+
+def test_experiments_with_certificates(done):
+    engine, _ = done
+    experiment = Experiment(replace(engine, config=replace(engine.config, dynamic_setting=(1.0,))), {"b_rew": [3]}, ("L_obj",), "LAST", True)
+    rows = experiment.rows()
+    assert len(rows) == 1 and 0 <= rows[0]["bound"] <= 1 and experiment.payloads[0]["settings"] == {"b_rew": 3}
+
+
+def test_drift_groups_keep_views_and_a_journal(spark, tmp_path):
+    engine = demonstration_engine(spark, DATA)
+    engine.queries = {"toxic": lexicon.toxic_query(), "again": lexicon.toxic_again()}
+    engine.truth["again"] = engine.truth["toxic"]
+    for fresh in (True, False):
+        out = run_group(engine, "g", [("toxic", "again")], "align", str(tmp_path), fresh)
+        assert [(r["first"], r["second"], r["route"], r["relation"]) for r in out] == [("toxic", "again", "reuse", "same")]
+    assert spark.read.json(str(tmp_path / "journal")).count() == 2
+    assert state_path("r", "g", "q", engine) != state_path("r", "g", "q", replace(engine, config=replace(engine.config, b_lab=9)))
 
 
 def test_a_round_moves_the_certificate(done):
