@@ -1,21 +1,22 @@
 """Language-model scoring: Stupid-backoff scores of every document, from counts over all documents.
 
 Every word counts as itself, by a 64-bit hash. Documents are taken in blocks, in which words have numbers of their own;
-a block's different words and bigrams are dealt by hash to ``parts`` tables, where the counts of all blocks add up. The
-tables answer each block's n-grams (hot ones cost one entry a block, whatever their number of documents), and answers
-are joined to the block and summed per document. Only the number of words reaches the driver. Sorted hashes travel as
-compressed differences. With a ``size``, all but that many most frequent words share one hash; the query has none.
+a block's different words and bigrams, with their counts, are dealt by hash to ``parts`` tables, where the counts of all
+blocks add up. The tables answer each block's n-grams (hot ones cost one entry a block, whatever their number of
+documents), and answers are joined to the block and summed per document. Only the number of words reaches the driver.
+Sorted hashes travel as compressed differences.
 
-A document is scored by the corpus without itself: its own counts are taken off. The score of a word after another
-is c(v w) / c(v) if c(v w) > 0, else ``backoff`` times c(w) / N, with half a count where the word is new.
+The score of a word after another is c(v w) / c(v) if the table of bigrams has v w, else ``backoff`` times c(w) / N; a
+document's first word has c(w) / N. The table keeps bigrams that occur ``least`` times or more: with one, every bigram
+of the scored corpus would be there, as the corpus has taught it.
 
-Defined cases: a null or empty text has no words and score null; repeated rows count as documents of their own;
-ties among equally frequent words are broken by hash; an empty table gives an empty result. Extra columns are
-ignored.
+Defined cases: a null or empty text has no words and score null; repeated rows count as documents of their own; an
+empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -28,9 +29,10 @@ from pyspark.sql import functions as F
 from .common import materialise, small_batches
 
 BACKOFF = 0.4
+#: Occurrences that a bigram needs to be in the table.
+LEAST = 2
 #: Bytes that the hashes of a block's words take, about.
 BLOCK_BYTES = 8_000_000
-COUNT_BYTES = 8_000_000
 #: Bytes of text for each table of counts, about.
 PART_BYTES = 16_000_000
 
@@ -49,34 +51,49 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 _UP, _DOWN = _powers(_BASE, _CHUNK + 1), _powers(_INVERSE, _CHUNK + 1)
 _BYTE = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
-_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_SPACES = (32, *range(9, 14))
+_NEXT = re.compile(rb"[^\x20\x09-\x0D]")
+_SPACE = np.isin(np.arange(256), _SPACES)
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of the words of a text, in order: polynomials of their bytes, mixed."""
+    """64-bit hashes of the words of a text, in order: polynomials of their bytes, mixed. Long texts are cut at white space."""
     raw = (text or "").encode("utf-8", "surrogatepass")
-    if len(raw) > _CHUNK:  # cut at white space; a longer word is hashed by its pieces
-        out, at = [], 0
-        while at < len(raw):
-            end = min(len(raw), at + _CHUNK)
-            if end < len(raw):
-                back = max(raw.rfind(bytes([c]), at, end) for c in (32, 10, 9, 11, 12, 13))
-                end = back if back > at else end
-            out.append(_hash(raw[at:end]))
-            at = end
-        return np.concatenate(out)
-    return _hash(raw)
-
-
-def _hash(raw: bytes) -> np.ndarray:
+    if len(raw) <= _CHUNK:
+        return _mix(_sums(raw))
+    out, at = [np.zeros(0, np.uint64)], 0
+    while word := _NEXT.search(raw, at):
+        at = word.start()
+        end = min(len(raw), at + _CHUNK)
+        if end < len(raw):
+            back = max(raw.rfind(bytes([c]), at, end) for c in _SPACES)
+            if back > at:
+                end = back
+            else:  # a word longer than a chunk: its pieces' polynomials add up
+                end = min((i for c in _SPACES if (i := raw.find(bytes([c]), end)) >= 0), default=len(raw))
+                pieces = [(pow(_BASE, i - at, 1 << 64), _sums(raw[i : min(end, i + _CHUNK)])) for i in range(at, end, _CHUNK)]
+                whole = sum(power * int(x[0]) for power, x in pieces) & (1 << 64) - 1
+                out.append(_mix(np.array([whole], np.uint64)))
+                at = end
+                continue
+        out.append(_mix(_sums(raw[at:end])))
+        at = end
+    return np.concatenate(out)
+
+
+def _sums(raw: bytes) -> np.ndarray:
+    """A polynomial of the bytes of each word."""
     codes = np.frombuffer(raw, np.uint8)
     space = np.concatenate(([True], _SPACE[codes], [True]))
     edge = np.flatnonzero(space[1:] != space[:-1])
     starts, ends = edge[::2], edge[1::2]
     sums = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum(_BYTE[codes] * _UP[: len(codes)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _DOWN[starts]
-    h ^= h >> np.uint64(29)
+    return (sums[ends] - sums[starts]) * _DOWN[starts]
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = h ^ h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h ^ h >> np.uint64(32)
 
@@ -99,49 +116,12 @@ def _blocks(batches, block_bytes: int, convert=word_hashes) -> Iterator[tuple[li
     pa.default_memory_pool().release_unused()  # workers live on; what Arrow keeps would add up with the next stage's
 
 
-def vocabulary(docs: DataFrame, size: int, block_bytes: int = COUNT_BYTES) -> np.ndarray:
-    """Hashes of the most frequent words, sorted; counted over all documents."""
-    def count(batches):
-        for _, words in _blocks(batches, block_bytes):
-            h, n = np.unique(np.concatenate(words), return_counts=True)
-            for at in range(0, len(h), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(h[at : at + 100_000].view(np.int64)), pa.array(n[at : at + 100_000])], names=["h", "n"])
-
-    with small_batches(docs.sparkSession):
-        counts = materialise(docs.select("doc_id", "text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
-    # words by steps of frequency, 64 for each doubling: where does the vocabulary end?
-    step = F.floor(F.log2("n") * 64)
-    steps = {r["step"]: (r["words"], r["least"]) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect()}
-    above, last = 0, 0
-    for last in sorted(steps, reverse=True):
-        if above + steps[last][0] >= size:
-            break
-        above += steps[last][0]
-    near = counts.filter(step >= last)
-    words, least = steps.get(last, (1, 1))
-    if least < 64:  # rare words have one count a step, in order of hash: a slice of the hashes holds all that are needed
-        share = min(1.0, 1.2 * (size - above) / words + 2000 / words)
-        near = near.filter((step > last) | (F.col("h") <= min(2**63 - 1, int(-(2**63) + share * 2.0**64))))
-    top = near.orderBy(F.desc("n"), "h").limit(size).select("h").collect()
-    return np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64))
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ h >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ h >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
     return h ^ h >> np.uint64(32)
 
 
-def _known_only(words: np.ndarray, known: np.ndarray | None) -> np.ndarray:
-    """Hashes of words, zero for those outside ``known`` (sorted), if there is one."""
-    if known is None:
-        return words
-    if not len(known):
-        return np.zeros_like(words)
-    at = np.minimum(np.searchsorted(known, words), len(known) - 1)
-    return np.where(known[at] == words, words, np.uint64(0))
-
-
 def _keyed(vocabulary: np.ndarray, tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A block's different n-grams as sorted 64-bit keys, and where each word of its vocabulary and each bigram stand
     among them (the first word of a document has a bigram with no word before)."""
@@ -187,11 +167,11 @@ def _firsts(lengths: np.ndarray) -> np.ndarray:
 BLOCK = "block string, n_words long, ids binary, known binary, lengths binary, vocabulary binary, tokens binary"
 
 
-def blocks_of(docs: DataFrame, known: np.ndarray | None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Blocks of documents: hashes of their different words, and each text's words as numbers among them."""
 
     def collect(batches):
-        for ids, words in _blocks(batches, block_bytes, lambda text: _known_only(word_hashes(text), known)):
+        for ids, words in _blocks(batches, block_bytes):
             lengths = np.array([len(w) for w in words], np.int64)
             found, tokens = np.unique(np.concatenate(words), return_inverse=True)
             there = np.array([i is not None for i in ids], np.uint8)
@@ -216,55 +196,46 @@ def dealt(blocks: DataFrame, parts: int) -> DataFrame:
                 cuts = _cuts(keys, parts)
                 for p in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
                     a, b = cuts[p], cuts[p + 1]
-                    row = (block, p, _steps(keys[a:b]), _short(counts[a:b]))
+                    row = (block, p, _steps(keys[a:b]), _squeezed(_narrow(counts[a:b])))
                     yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
     return blocks.select("block", "vocabulary", "tokens", "lengths").mapInArrow(deal, "block string, part int, grams binary, counts binary")
 
 
 def _answer(asked: pd.DataFrame) -> pd.DataFrame:
-    """One table: the counts of all blocks, for each bigram that a block has asked for."""
+    """One table: the counts of all blocks, for each n-gram that a block has asked for."""
     grams = [_unstepped(g) for g in asked["grams"]]
     _, back = np.unique(np.concatenate(grams), return_inverse=True)
-    totals = np.bincount(back, np.concatenate([_long(c) for c in asked["counts"]])).astype(np.int64)[back]
+    totals = np.bincount(back, np.concatenate([_unsqueezed(c) for c in asked["counts"]])).astype(np.int64)[back]
     cuts = np.cumsum([0, *map(len, grams)])
-    return pd.DataFrame({"block": asked["block"], "part": asked["part"], "totals": [_short(totals[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
-
+    return pd.DataFrame({"block": asked["block"], "part": asked["part"], "totals": [_squeezed(_narrow(totals[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
 
-def _short(counts: np.ndarray) -> bytes:
-    """Counts as bytes, in the narrowest of four widths; the first byte is the width."""
-    kind = np.min_scalar_type(int(counts.max(initial=0)))
-    return bytes([kind.itemsize]) + counts.astype(kind).tobytes()
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in the narrowest type that holds them."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
 
-def _long(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
 
-
-def scored(docs: DataFrame, size: int | None = None, backoff: float = BACKOFF, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
+def scored(docs: DataFrame, backoff: float = BACKOFF, least: int = LEAST, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, score (sum of log10), mean_score, n_backoff (words scored by backing off)."""
-    known = None if size is None else vocabulary(docs, size)
     total_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total_bytes // part_bytes))
     with small_batches(docs.sparkSession):
-        blocks = materialise(blocks_of(docs, known, block_bytes), "blocks")
+        blocks = materialise(blocks_of(docs, block_bytes), "blocks")
     n_all = blocks.agg(F.sum("n_words")).first()[0] or 0
 
     def add_up(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        totals = np.concatenate([_long(g) for g in theirs.sort_values("part")["totals"]] or [np.zeros(0, np.int64)])
+        totals = np.concatenate([_unsqueezed(g).astype(np.int64) for g in theirs.sort_values("part")["totals"]] or [np.zeros(0, np.int64)])
         block = mine.iloc[0]
         lengths, tokens = np.frombuffer(block["lengths"], np.int64), _unsqueezed(block["tokens"])
         doc = np.repeat(np.arange(len(lengths)), lengths)
-        _, of_word, place = _keyed(_unstepped(block["vocabulary"]), tokens, lengths)
-        of_pair = totals[place] - own_counts(doc, place)
+        _, of_word, of_pair = _keyed(_unstepped(block["vocabulary"]), tokens, lengths)
+        pair, word = totals[of_pair], totals[of_word[tokens]]
         first = np.zeros(len(tokens), bool)
         first[_firsts(lengths)] = True
-        own_word = own_counts(doc, tokens.astype(np.int64))
-        left = totals[of_word[tokens]] - own_word
-        context = np.maximum(np.concatenate(([0], left[:-1])), 1) if len(left) else left
-        word = np.maximum(left, 0.5) / np.maximum(n_all - np.repeat(lengths, lengths), 1)
-        found = (of_pair > 0) & ~first
-        logs = np.log10(np.where(found, of_pair / context, np.where(first, 1.0, backoff) * word))
+        context = np.concatenate(([1], word[:-1])) if len(word) else word
+        found = (pair >= least) & ~first
+        logs = np.log10(np.where(found, pair / context, np.where(first, 1.0, backoff) * word / max(n_all, 1)))
         there = np.frombuffer(block["known"], np.uint8).astype(bool)
         ids = pd.arrays.IntegerArray(np.frombuffer(block["ids"], np.int64).copy(), ~there)
         return pd.DataFrame({"doc_id": ids, "n_words": lengths, "score": np.bincount(doc, logs, len(lengths)), "n_backoff": np.bincount(doc, ~found & ~first, len(lengths)).astype(np.int64)})
@@ -273,14 +244,3 @@ def scored(docs: DataFrame, size: int | None = None, backoff: float = BACKOFF, b
     summed = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(add_up, "doc_id long, n_words long, score double, n_backoff long")
     some = F.col("n_words") > 0
     return summed.select("doc_id", "n_words", F.when(some, F.col("score")).alias("score"), F.when(some, F.col("score") / F.col("n_words")).alias("mean_score"), "n_backoff")
-
-
-def own_counts(doc: np.ndarray, what: np.ndarray) -> np.ndarray:
-    """For each place, how often its document has the same value."""
-    if not len(doc):
-        return np.zeros(0, np.int64)
-    key = doc.astype(np.int64)
-    key *= int(what.max()) + 1
-    key += what
-    _, back, n = np.unique(key, return_inverse=True, return_counts=True)
-    return n[back]

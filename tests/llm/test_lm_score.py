@@ -1,41 +1,38 @@
 import math
 from collections import Counter
 
-import numpy as np
 import pytest
 
-from lucerna.llm.lm_score import _hash, own_counts, scored, word_hashes
+import lucerna.llm.lm_score as lm_score
+from lucerna.llm.lm_score import scored, word_hashes
 from lucerna.llm.registry import QUERIES
 
 from .helpers import awkward, empty
 
 
-def slow(docs, size, backoff=0.4):
+def slow(docs, backoff=0.4, least=2):
     """(n_words, score, n_backoff) of each text, by dictionaries."""
     words = [(t or "").encode().split() for t in docs]
-    known = {w for w, _ in sorted(Counter(w for d in words for w in d).items(), key=lambda x: (-x[1], np.int64(_hash(x[0])[0].view(np.int64))))[:size]}
-    words = [[w if w in known else None for w in d] for d in words]
     uni, pair = Counter(w for d in words for w in d), Counter((a, b) for d in words for a, b in zip(d, d[1:]))
     n_all = sum(uni.values())
     for d in words:
-        own, own_pair, score, backed = Counter(d), Counter(zip(d, d[1:])), 0.0, 0
+        score, backed = 0.0, 0
         for i, w in enumerate(d):
-            p = (d[i - 1], w) if i else None
-            if p and pair[p] > own_pair[p]:
-                score += math.log10((pair[p] - own_pair[p]) / max(1, uni[p[0]] - own[p[0]]))
+            if i and pair[d[i - 1], w] >= least:
+                score += math.log10(pair[d[i - 1], w] / uni[d[i - 1]])
             else:
-                score += math.log10((backoff if i else 1) * max(0.5, uni[w] - own[w]) / max(1, n_all - len(d)))
+                score += math.log10((backoff if i else 1) * uni[w] / n_all)
                 backed += i > 0
         yield len(d), score, backed
 
 
-@pytest.mark.parametrize("size,block_bytes,part_bytes", [(65_535, 24_000_000, 64_000_000), (300, 40_000, 50_000)])
-def test_matches_brute_force(spark, sf_dir, size, block_bytes, part_bytes):
+@pytest.mark.parametrize("least,block_bytes,part_bytes", [(2, 24_000_000, 64_000_000), (2, 40_000, 50_000), (1, 300_000, 200_000)])
+def test_matches_brute_force(spark, sf_dir, least, block_bytes, part_bytes):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = {r.doc_id: r.text for r in docs.collect()}
-    got = {r.doc_id: r for r in scored(docs, size, block_bytes=block_bytes, part_bytes=part_bytes).collect()}
+    got = {r.doc_id: r for r in scored(docs, least=least, block_bytes=block_bytes, part_bytes=part_bytes).collect()}
     assert set(got) == set(rows)
-    for i, (n, score, backed) in zip(rows, slow(rows.values(), size)):
+    for i, (n, score, backed) in zip(rows, slow(rows.values(), least=least)):
         assert (got[i].n_words, got[i].n_backoff) == (n, backed)
         assert got[i].score == pytest.approx(score, rel=1e-9) and got[i].mean_score == pytest.approx(score / n, rel=1e-9)
 
@@ -51,7 +48,17 @@ def test_word_hashes():
     long_text = "alpha beta " * 200_000
     h = word_hashes(long_text)
     assert len(h) == 400_000 and set(h.tolist()) == set(word_hashes("alpha beta").tolist())
-    assert own_counts(np.array([0, 0, 1]), np.array([5, 5, 5])).tolist() == [2, 2, 1]
+
+
+def test_words_longer_than_a_chunk(monkeypatch):
+    """A long word is one word, whatever stands around it, and differs from its beginning."""
+    monkeypatch.setattr(lm_score, "_CHUNK", 64)
+    texts = ["a" * 500, "b " + "a" * 500 + " c", " \n" * 40 + "a" * 500 + "\t" * 100 + "x y", "a" * 64, "a" * 63, "a" * 65 + " " + "a" * 64]
+    got = [word_hashes(t) for t in texts]
+    assert [len(h) for h in got] == [len(t.split()) for t in texts]
+    assert got[0][0] == got[1][1] == got[2][0] and len({int(got[i][0]) for i in (0, 3, 4, 5)}) == 4 and got[5][1] == got[3][0]
+    monkeypatch.undo()
+    assert all((word_hashes(t) == h).all() for t, h in zip(texts, got))
 
 
 def test_awkward_rows(spark):
