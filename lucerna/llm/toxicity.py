@@ -3,8 +3,9 @@
 Features are the byte n-grams of the lower-cased text, hashed to ``buckets``; a feature is present or absent. On at
 most ``max_rows`` labelled rows (chosen by a hash of their id: the documented bound of the fit) the ratios
 r = log((1 + p) / |p|) - log((1 + q) / |q|) of its counts in both classes scale each feature, and a logistic
-regression with an L2 penalty is trained over the ``keep`` features whose shares differ most. Every whole text is
-scored with one table of weights.
+regression with an L2 penalty is trained over the ``keep`` features whose shares differ most (a parameter of the model,
+whatever the size of the input: with many more, a few hundred toxic examples are learned by heart, and fewer of those
+held out are found). Every whole text is scored with one table of weights.
 
 Defined cases: null and empty texts have no features and get the score of the intercept; a null doc_id is never
 labelled nor held out; of several labels of a document the largest counts; null labels are left out; without
@@ -25,13 +26,15 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 #: Orders of the n-grams, in bytes.
-ORDERS = (3, 4, 5)
+ORDERS = (4, 5, 6)
 #: Bits of a feature's hash.
-HASH_BITS = 18
+HASH_BITS = 20
 BUCKETS = 1 << HASH_BITS
 #: Labelled rows that a model is fitted on, at most.
 MAX_ROWS = 20_000
+#: Features of a model, at most, and labelled rows that a feature must be in.
 KEEP = 1024
+SEEN = 3
 #: Weight of features that speak for the clean class when features are chosen: the toxic class is the rare one.
 CLEAN_SHARE = 0.3
 THRESHOLD = 0.3
@@ -82,11 +85,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
     # at most max_rows pairs of numbers are sent to the executors
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_t_id"))
     one = joined.groupBy("_t_id", "y").agg(F.min("text").alias("text"))
-    return materialise(one.select("text", "y").repartition(8), "labelled")
+    return materialise(one.select("text", "y").repartition(max(8, -(-max_rows // 20_000))), "labelled")
 
 
 def _counts(batches):
-    totals, n = np.zeros((2, BUCKETS), np.int32), np.zeros(2, np.int64)
+    totals, n = np.zeros((2, BUCKETS), np.uint16), np.zeros(2, np.int64)  # a part has 2,500 rows or so
     for batch in batches:
         for text, y in zip(batch["text"], batch["y"], strict=True):
             totals[int(y > 0), present(text)] += 1
@@ -116,22 +119,27 @@ def _logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, rounds:
     return bias, weights
 
 
+def selected(p: np.ndarray, q: np.ndarray, n_p: int, n_q: int, keep: int = KEEP) -> tuple[np.ndarray, np.ndarray]:
+    """Log-count ratios of all features, and the chosen ones, rising, from their counts in toxic (p) and clean (q) rows."""
+    ratio = np.log((1 + p) / (1 + p).sum()) - np.log((1 + q) / (1 + q).sum())
+    both = (p + q) / (n_p + n_q)
+    apart = np.abs(p / n_p - q / n_q) / np.sqrt(np.maximum(both * (1 - both), 1e-12))
+    apart[p + q < SEEN] = 0
+    apart[ratio < 0] *= CLEAN_SHARE
+    chosen = np.sort(np.argsort(-apart, kind="stable")[:keep])
+    return ratio, chosen[apart[chosen] > 0]
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, keep: int = KEEP) -> Model:
     rows = training_rows(docs, labels, max_rows)
     parts = rows.mapInPandas(_counts, "q binary, p binary, n_q long, n_p long").collect()
-    q, p = (sum((np.frombuffer(r[c], np.int32).astype(np.float64) for r in parts), np.zeros(BUCKETS)) for c in ("q", "p"))
+    q, p = (sum((np.frombuffer(r[c], np.uint16).astype(np.float64) for r in parts), np.zeros(BUCKETS)) for c in ("q", "p"))
     n_q, n_p = sum(r["n_q"] for r in parts), sum(r["n_p"] for r in parts)
     table = np.zeros(BUCKETS, np.float32)
     if not n_q or not n_p:
         share = (n_p + 1) / (n_q + n_p + 2)
         return Model(float(np.log(share / (1 - share))), table)
-    ratio = np.log((1 + p) / (1 + p).sum()) - np.log((1 + q) / (1 + q).sum())
-    both = (p + q) / (n_p + n_q)
-    apart = np.abs(p / n_p - q / n_q) / np.sqrt(np.maximum(both * (1 - both), 1e-12))
-    apart[p + q < 3] = 0
-    apart[ratio < 0] *= CLEAN_SHARE
-    chosen = np.sort(np.argsort(-apart, kind="stable")[:keep])
-    chosen = chosen[apart[chosen] > 0]
+    ratio, chosen = selected(p, q, n_p, n_q, keep)
     place = np.full(BUCKETS, -1, np.int32)
     place[chosen] = np.arange(len(chosen), dtype=np.int32)
     wanted = (place >= 0).astype(np.int8)
