@@ -1,11 +1,15 @@
 """Secret scans: base patterns, and a linear-chain conditional random field that adds spans to theirs.
 
-The field tags the tokens of a text as secret begin, inside or outside, from their shape, neighbouring words and
-features of the whole file, decoded by Viterbi. It is fitted on at most ``max_rows`` documents (chosen by a hash of
-their id: the documented bound of the fit) with the base patterns' spans as tags, and with made-up secrets of other
-forms in their place; word features are dropped at random, so that shape alone can carry a tag. Tokens are runs of non-space characters. Tokens with a digit, ``=`` or
-``:``, or of 20 and more characters, and the three tokens on either side form the chains; all others are outside.
-Spans that the field adds never overlap a base span, and base spans always stay.
+The field tags every token of a text as secret begin, inside or outside, from its shape, neighbouring words and features
+of the whole file, decoded by Viterbi. Tokens are runs of characters other than white space, quotes, brackets and commas.
+Texts of more than ``WINDOW`` tokens are decoded in windows of that many, each with ``CONTEXT`` tokens on either side.
+
+The field is fitted on ``max_rows`` documents at most (the documented bound of the fit), chosen by a hash of their id:
+half of them have base spans, wherever in the table they are. Base spans are its tags; ``SECRETS`` of a document are also
+replaced by ``VARIANTS`` made-up secrets of other forms, and each document without one gets a made-up one. It learns from pieces of ``PIECE`` tokens around secrets and
+from two others of each document, ``max_pieces`` at most, of which those with tags come first. Word features are dropped
+at random, so that shape alone can carry a tag. Spans that the field adds never overlap a base span, and base spans
+always stay.
 
 Defined cases: a null text counts as empty and has no spans; positions are code points; repeated rows get the same
 answer; without any base span in the sample nothing is added; an empty table gives an empty result. Extra columns
@@ -16,7 +20,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,15 +36,18 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_CHARS, ACCESS_CHARS, HEX_CHARS = 6, 20, 24
 
-TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-SUSPECT = re.compile(r"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D]*[0-9=:][^\x20\x09-\x0D]*|[^\x20\x09-\x0D]{20,})")
-#: Tokens on either side of a suspect one.
-AROUND = 3
+TOKEN = re.compile(r"[^\x20\x09-\x0D\"'`,;()\[\]{}<>]+")
+#: The base patterns as one pattern, to find documents to learn from.
+ANY_BASE = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6}|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"""
+WINDOW, CONTEXT = 256, 16
 HASH_BITS = 15
 MAX_ROWS = 8_000
-MAX_CHAINS = 30_000
-#: Tokens of a chain in the fit, at most; decoding has no such bound.
-FIT_TOKENS = 32
+MAX_PIECES = 6_000
+PIECE = 40
+#: Secrets of a document that are varied in the fit, and made-up variants of each.
+SECRETS, VARIANTS = 4, 6
+#: Tokens whose features are held, at most, and characters of those.
+HELD, HELD_CHARS = 200_000, 64
 EDGES = "\"'`,;()[]{}<>"
 
 _IS_HEX = np.isin(np.arange(256), [*range(48, 58), *range(97, 103)])
@@ -61,94 +67,104 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-def chains(text: str) -> list[list[tuple[int, int]]]:
-    """Token spans of each chain: suspect tokens with their neighbours, joined where they touch."""
-    out: list[list[tuple[int, int]]] = []
-    for m in SUSPECT.finditer(text):
-        if out and m.end() <= out[-1][-1][1]:  # already a neighbour of the one before: only what follows is new
-            last = out.pop()
-            last = [t for t in last if t[1] <= m.end()]
-            out.append(last + _after(text, m.end()))
-            continue
-        before = _before(text, m.start())
-        if out and before and before[0][0] < out[-1][-1][1]:
-            last = out.pop()
-            before = last + [t for t in before if t[0] >= last[-1][1]]
-        out.append([*before, m.span(), *_after(text, m.end())])
-    return out
+def _id(slot: int, value: str) -> int:
+    return 1 + zlib.crc32(f"{slot}:{value}".encode("utf-8", "surrogatepass")) % ((1 << HASH_BITS) - 1)
 
 
-def _after(text: str, at: int) -> list[tuple[int, int]]:
-    found = []
-    while len(found) < AROUND and (m := TOKEN.search(text, at)):
-        found.append(m.span())
-        at = m.end()
+def _own(token: str) -> tuple[int, ...]:
+    """Of a whole token: feature ids of its shape, length, mix, spread and word; numbers for its word and its shape; is it
+    of a form that prose seldom has?"""
+    shape = re.sub(r"[0-9]+", "0", re.sub(r"[A-Z]+", "A", re.sub(r"[^\W\d_A-Z]+", "a", token)))
+    shape = re.sub(r"(.{1,2}?)\1+", r"\1+", shape)
+    shape = shape if len(shape) <= 12 else f"{shape[:10]}~{len(shape).bit_length()}{zlib.crc32(shape[10:].encode('utf-8', 'surrogatepass')) % 8}"
+    digits, upper, lower = (sum(map(f, token)) for f in (str.isdigit, str.isupper, str.islower))
+    n = len(token)
+    mix = f"{4 * digits // n}{digits > 0}{upper > 0}{lower > 0}{min(9, n.bit_length())}"
+    spread = f"{10 * len(set(token)) // n}:{n.bit_length()}"
+    word = token.strip(".:=").lower()
+    odd = n >= 20 or digits > 0 or "=" in token or ":" in token
+    number = lambda x: zlib.crc32(x.encode("utf-8", "surrogatepass"))
+    return _id(0, shape), _id(1, str(min(40, n))), _id(2, mix), _id(3, spread), _id(4, word), number(word), number(shape), odd
+
+
+_held: dict[str, tuple[int, ...]] = {}
+
+
+def _of(token: str) -> tuple[int, ...]:
+    """``_own``, held for short tokens."""
+    found = _held.get(token)
+    if found is None:
+        found = _own(token)
+        if len(token) <= HELD_CHARS:
+            if len(_held) >= HELD:
+                _held.clear()
+            _held[token] = found
     return found
 
 
-def _before(text: str, at: int) -> list[tuple[int, int]]:
-    found: list[tuple[int, int]] = []
-    while len(found) < AROUND:
-        while at > 0 and text[at - 1] in " \t\n\x0b\x0c\r":
-            at -= 1
-        if at == 0:
-            break
-        end = at
-        while at > 0 and text[at - 1] not in " \t\n\x0b\x0c\r":
-            at -= 1
-        found.append((at, end))
-    return found[::-1]
+SLOTS = 14
+#: Slots of words: those that training drops at random.
+WORD_SLOTS = (4, 5, 6, 7, 11)
 
 
-def _id(slot: int, value: str) -> int:
-    return 1 + zlib.crc32(f"{slot}:{value}".encode("utf-8", "surrogatepass")) % ((1 << HASH_BITS) - 1)
+def _joined(slot: int, *parts: np.ndarray) -> np.ndarray:
+    """Feature ids of pairs of numbers."""
+    h = np.full(len(parts[0]), slot * 0x9E3779B97F4A7C15 & (1 << 64) - 1, np.uint64)
+    for x in parts:
+        h = (h ^ x) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(31)
+    return (1 + h % np.uint64((1 << HASH_BITS) - 1)).astype(np.int32)
 
 
-@lru_cache(100_000)
-def _own(token: str) -> tuple[int, int, int, int, int, str, str]:
-    """Feature ids of a token by itself, its word and its shape."""
-    shape = re.sub(r"[0-9]+", "0", re.sub(r"[A-Z]+", "A", re.sub(r"[^\W\d_A-Z]+", "a", token[:64])))
-    shape = re.sub(r"(.{1,2}?)\1+", r"\1+", shape)[:10]
-    digits, upper, lower = (sum(f(c) for c in token[:256]) for f in (str.isdigit, str.isupper, str.islower))
-    n = min(len(token), 256)
-    mix = f"{4 * digits // n}{digits > 0}{upper > 0}{lower > 0}{n.bit_length()}"
-    spread = f"{10 * len(set(token[:256])) // n}:{n.bit_length()}"
-    word = token.strip(EDGES + ".:=").lower()[:20]
-    return _id(0, shape), _id(1, str(min(40, len(token)))), _id(2, mix), _id(3, spread), _id(4, word), word, shape
-
-
-def featured(text: str, spans: list[tuple[int, int]], source: str | None, about: str) -> np.ndarray:
-    """Feature ids (token, slot) of a chain. Slots: own shape, length, mix, spread and word; words and shapes around;
-    the file; no feature but the bias."""
-    own = [_own(text[a:b]) for a, b in spans]
-    edge = (0, 0, 0, 0, 0, "<>", "<>")
-    at = lambda i: own[i] if 0 <= i < len(own) else edge
-    rows = []
-    for i, (ids, (a, _)) in enumerate(zip(own, spans, strict=True)):
-        one, two, after = at(i - 1), at(i - 2), at(i + 1)
-        line = "start" if a == 0 or "\n" in text[max(0, a - 2) : a] else "within"
-        rows.append([*ids[:5], _id(5, one[5]), _id(6, f"{two[5]} {one[6]}"), _id(7, after[5]), _id(8, f"{one[6]} {ids[6]}"), _id(9, f"{ids[6]} {after[6]}"), _id(10, about), _id(11, source or ""), _id(12, line), _id(13, "")])
-    return np.array(rows, np.int64)
+def _shifted(x: np.ndarray, by: int) -> np.ndarray:
+    """The value ``by`` places before (after, if negative); zero beyond the text."""
+    out = np.zeros_like(x)
+    if abs(by) < len(x):
+        out[max(0, by) : len(x) + min(0, by)] = x[max(0, -by) : len(x) - max(0, by)]
+    return out
 
 
-SLOTS = 14
-#: Slots of words: those that training drops at random.
-WORD_SLOTS = (4, 5, 6, 7, 11)
+def featured(text: str, source: str | None, about: str | None = None) -> np.ndarray:
+    """Feature ids (token, slot) of all tokens of a text. Slots: own shape, length, mix, spread and word; words and shapes
+    around; the file, its source, beginnings of lines; no feature but the bias."""
+    place: dict[str, int] = {}
+    order, begins = [], []
+    for line in text.split("\n"):
+        begins.append(len(order))
+        order += [place.setdefault(t, len(place)) for t in TOKEN.findall(line)]
+    if not order:
+        return np.zeros((0, SLOTS), np.int32)
+    own = np.array([_of(t) for t in place], np.int64)[np.array(order)]
+    word, shape = own[:, 5].astype(np.uint64) + np.uint64(1), own[:, 6].astype(np.uint64) + np.uint64(1)
+    out = np.empty((len(order), SLOTS), np.int32)
+    out[:, :5] = own[:, :5]
+    one, two, after = _shifted(word, 1), _shifted(word, 2), _shifted(word, -1)
+    before, following = _shifted(shape, 1), _shifted(shape, -1)
+    out[:, 5], out[:, 6], out[:, 7] = _joined(5, one), _joined(6, two, before), _joined(7, after)
+    out[:, 8], out[:, 9] = _joined(8, before, shape), _joined(9, shape, following)
+    first = np.zeros(len(order) + 1, np.int64)
+    first[begins] = 1
+    out[:, 10] = _id(10, file_features(text, int(own[:, 7].sum())) if about is None else about)
+    out[:, 11] = _id(11, source or "")
+    out[:, 12] = np.where(first[:-1], _id(12, "start"), _id(12, "within"))
+    out[:, 13] = _id(13, "")
+    return out
 
 
-def file_features(text: str, n_chains: int) -> str:
-    """What holds of the whole file: its length, how many suspect places it has, and whether it speaks of keys."""
+def file_features(text: str, n_odd: int) -> str:
+    """What holds of the whole file: its length, how many odd tokens it has, and whether it speaks of keys."""
     low = text.lower()
-    return f"{len(text).bit_length()} {min(5, n_chains.bit_length())} {'key' in low} {'secret' in low or 'passw' in low or 'token' in low}"
+    return f"{len(text).bit_length()} {min(5, n_odd.bit_length())} {'key' in low} {'secret' in low or 'passw' in low or 'token' in low}"
 
 
 def tags_of(spans: list[tuple[int, int]], secrets: list[tuple[int, int, str]]) -> np.ndarray:
-    """Tags of a chain from secret spans: the first token that a run of overlapping spans touches begins."""
+    """Tags of tokens from secret spans: the first token that a span touches begins, unless it is in one already."""
     tags = np.zeros(len(spans), np.int8)
+    starts, ends = np.array([a for a, _ in spans]), np.array([b for _, b in spans])
     for a, b, _ in secrets:
-        touched = [i for i, (x, y) in enumerate(spans) if x < b and a < y]
-        for i in touched:
-            tags[i] = tags[i] or (INSIDE if i > touched[0] else BEGIN)
+        low, high = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(starts, b))
+        for i in range(low, high):
+            tags[i] = tags[i] or (INSIDE if i > low else BEGIN)
     return tags
 
 
@@ -157,8 +173,6 @@ ANNOUNCE = ("credential", "auth", "bearer", "passphrase", "private_key", "access
 STARTS = ("ghp_", "sk_live_", "xoxb-", "glpat-", "AIza", "eyJ", "AKIA", "pk_test_")
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _SETS = ("0123456789abcdef", "0123456789ABCDEF", _LETTERS + _LETTERS.upper() + "0123456789", _LETTERS + _LETTERS.upper() + "0123456789+/", _LETTERS + "0123456789", _LETTERS.upper() + "0123456789")
-#: Made-up variants of each secret in the fit.
-VARIANTS = 6
 
 
 def made_up(rng: np.random.Generator) -> str:
@@ -184,50 +198,82 @@ def variant(text: str, span: tuple[int, int, str], rng: np.random.Generator) ->
     return f"{before}{'' if not before or before[-1].isspace() else ' '}{whole}{'' if not after or after[0].isspace() else ' '}{after}", (len(before) + (bool(before) and not before[-1].isspace()), len(before) + (bool(before) and not before[-1].isspace()) + len(whole), "made")
 
 
+def with_secret(text: str, rng: np.random.Generator) -> tuple[str, tuple[int, int, str]]:
+    """A text with a made-up secret between two of its words, and where that stands."""
+    gaps = [m.start() for m in re.finditer(r"\s", text)] or [len(text)]
+    at = gaps[int(rng.integers(len(gaps)))]
+    return variant(text[max(0, at - 400) : at + 400], (at - max(0, at - 400), at - max(0, at - 400), "none"), rng)
+
+
+def pieces_of(tags: np.ndarray, size: int = PIECE) -> list[tuple[int, int]]:
+    """Ranges of ``size`` tokens: around each tagged run that no range before holds, and two others."""
+    out, n = [], len(tags)
+    for i in np.flatnonzero(tags == BEGIN).tolist():
+        if not out or i + 4 > out[-1][1]:
+            low = max(0, min(i - size // 2, n - size), min(out[-1][1], i) if out else 0)
+            while low < i and tags[low] == INSIDE:
+                low += 1
+            out.append((low, min(n, low + size)))
+    for low in (0, max(0, n // 2)):
+        if not tags[low : low + size].any() and low < n:
+            out.append((low, min(n, low + size)))
+    return out
+
+
 def _training_rows(batches):
     for batch in batches:
         rows = []
 
-        def add(text, source, secrets, about=None):
-            found = chains(text)
-            about = about or file_features(text, len(found))
-            for spans in found:
-                tags = tags_of(spans, secrets)
-                keep = tags.any() or zlib.crc32(text[spans[0][0] : spans[-1][1]].encode("utf-8", "surrogatepass")) % 10 < 4
-                if keep:
-                    rows.append((featured(text, spans[:FIT_TOKENS], source, about).astype(np.uint16).tobytes(), tags[:FIT_TOKENS].tobytes()))
-            return about
+        def add(text, source, secrets, about=None, real=False):
+            spans = [m.span() for m in TOKEN.finditer(text)]
+            ids, tags = featured(text, source, about), tags_of(spans, secrets)
+            for a, b in pieces_of(tags):
+                rows.append((bool(tags[a:b].any()), real and bool(tags[a:b].any()), ids[a:b].astype(np.uint16).tobytes(), tags[a:b].tobytes()))
 
         for text, source in zip(batch["text"], batch["source"], strict=True):
             text = text or ""
             secrets = base_spans(text)
-            about = add(text, source, secrets)
+            add(text, source, secrets, real=True)
             rng = np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass")))
-            for span in secrets[:4]:
+            about = file_features(text, sum(_of(t)[7] for t in TOKEN.findall(text)))
+            if not secrets:
+                other, place = with_secret(text, rng)
+                add(other, source, [place], about if rng.random() < 0.5 else None)
+            for k in rng.permutation(len(secrets))[:SECRETS]:
                 for _ in range(VARIANTS):
-                    other, place = variant(text, span, rng)
+                    other, place = variant(text, secrets[k], rng)
                     add(other, source, [place], about if rng.random() < 0.5 else None)
-        yield pd.DataFrame(rows, columns=["ids", "tags"])
+        yield pd.DataFrame(rows, columns=["tagged", "real", "ids", "tags"])
 
 
 def padded(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(x) for x in ids])
-    out = np.zeros((len(ids), lengths.max(initial=1), SLOTS), np.int64)
+    out = np.zeros((len(ids), lengths.max(initial=1), SLOTS), np.int32)
     for k, x in enumerate(ids):
         out[k, : len(x)] = x
     return out, lengths
 
 
-def fit(docs: DataFrame, max_rows: int = MAX_ROWS, max_chains: int = MAX_CHAINS) -> Crf | None:
-    """The field, learned from the base spans of at most ``max_rows`` documents; None where these have no secret."""
-    chosen = docs.filter("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select(F.col("doc_id").alias("_c_id"))
+def training_documents(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """text, source: documents to learn from, half of them with base spans if there are as many."""
+    known = docs.filter("doc_id is not null").select("doc_id", F.coalesce(F.col("text").rlike(ANY_BASE), F.lit(False)).alias("has"))
+    known = materialise(known.groupBy("doc_id").agg(F.max("has").alias("has")), "with-secrets")
+    half = lambda has, n: known.filter(F.col("has") == F.lit(has)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select(F.col("doc_id").alias("_c_id"))
+    chosen = half(True, max_rows - max_rows // 2).unionAll(half(False, max_rows // 2))
     # at most max_rows numbers are sent to the executors
-    some = materialise(docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_c_id")).select("text", "source").repartition(6), "scanned")
-    rows = materialise(some.mapInPandas(_training_rows, "ids binary, tags binary"), "chains").orderBy(F.xxhash64("ids", "tags"), "ids", "tags").limit(max_chains).collect()
-    ids = [np.frombuffer(r["ids"], np.uint16).reshape(-1, SLOTS).astype(np.int64) for r in rows]
-    tags = [np.frombuffer(r["tags"], np.int8) for r in rows]
-    if not any(t.any() for t in tags):
+    return materialise(docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_c_id")).select("text", "source").repartition(8), "scanned")
+
+
+def fit(docs: DataFrame, max_rows: int = MAX_ROWS, max_pieces: int = MAX_PIECES) -> Crf | None:
+    """The field, learned from the base spans of at most ``max_rows`` documents; None where the table has no secret."""
+    made = training_documents(docs, max_rows).mapInPandas(_training_rows, "tagged boolean, real boolean, ids binary, tags binary")
+    pieces = materialise(made, "pieces")
+    if pieces.filter("real").isEmpty():
         return None
+    rows = pieces.orderBy(F.desc("tagged"), F.xxhash64("ids", "tags"), "ids", "tags")
+    some = [r for tagged in (True, False) for r in rows.filter(F.col("tagged") == F.lit(tagged)).limit(max_pieces // 2).collect()]
+    ids = [np.frombuffer(r["ids"], np.uint16).reshape(-1, SLOTS).astype(np.int32) for r in some]
+    tags = [np.frombuffer(r["tags"], np.int8) for r in some]
     x, lengths = padded(ids)
     y = np.zeros(x.shape[:2], np.int8)
     for k, t in enumerate(tags):
@@ -238,8 +284,11 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS, max_chains: int = MAX_CHAINS)
     return train(x, y, lengths, 1 << HASH_BITS)
 
 
-def _added(text: str, spans: list[tuple[int, int]], tags: np.ndarray, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    out, i = [], 0
+def _added(text: str, tags: np.ndarray, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Spans of the tagged runs of a text's tokens, without what overlaps base spans."""
+    if not (tags == BEGIN).any():
+        return []
+    spans, out, i = [m.span() for m in TOKEN.finditer(text)], [], 0
     while i < len(tags):
         if tags[i] != BEGIN:
             i += 1
@@ -248,38 +297,51 @@ def _added(text: str, spans: list[tuple[int, int]], tags: np.ndarray, base: list
         while j < len(tags) and tags[j] == INSIDE:
             j += 1
         a, b = spans[i][0], spans[j - 1][1]
-        whole = text[a:b]
-        a, b = a + len(whole) - len(whole.lstrip(EDGES)), b - len(whole) + len(whole.rstrip(EDGES + ".:"))
+        b -= len(text[a:b]) - len(text[a:b].rstrip(EDGES + ".:"))
         if b - a >= ASSIGN_CHARS and not any(x < b and a < y for x, y, _ in base):
             out.append((a, b, "crf"))
         i = j
     return out
 
 
-def scan_texts(texts: list[str], sources: list[str | None], model: Crf | None) -> list[list[tuple[int, int, str]]]:
-    """All spans of each text, by start, then kind as listed. Chains of like lengths are decoded together."""
-    found = [base_spans(t) for t in texts]
-    if model is None:
-        return found
-    held: dict[int, list[tuple[int, list, np.ndarray]]] = {}
-    added: list[list] = [[] for _ in texts]
+def windows_of(n: int) -> list[tuple[int, int, int, int]]:
+    """(from, to, first, last) of the windows of ``n`` tokens: tokens from..to are decoded, tags of first..last are kept."""
+    if n <= WINDOW + CONTEXT:
+        return [(0, n, 0, n)] if n else []
+    cores = [(a, min(n, a + WINDOW)) for a in range(0, n, WINDOW)]
+    return [(max(0, a - CONTEXT), min(n, b + CONTEXT), a, b) for a, b in cores]
+
+
+def tags_of_texts(texts: list[str], sources: list[str | None], model: Crf) -> list[np.ndarray]:
+    """The tags of all tokens of each text. Windows of like lengths are decoded together."""
+    held: dict[int, list[tuple[int, int, int, int, np.ndarray]]] = {}
+    tags: list[np.ndarray] = []
 
     def decode(some):
-        ids, lengths = padded([x for _, _, x in some])
-        for (k, spans, _), tags, n in zip(some, model.decode(ids, lengths), lengths, strict=True):
-            added[k] += _added(texts[k], spans, tags[:n], found[k])
+        ids, lengths = padded([x for *_, x in some])
+        for (k, low, a, b, _), found in zip(some, model.decode(ids, lengths), strict=True):
+            tags[k][a:b] = found[a - low : b - low]
 
     for k, text in enumerate(texts):
-        parts = chains(text)
-        about = file_features(text, len(parts)) if parts else ""
-        for spans in parts:
-            size = len(spans).bit_length()
-            held.setdefault(size, []).append((k, spans, featured(text, spans, sources[k], about)))
-            if len(held[size]) << size >= 20_000:
+        ids = featured(text, sources[k])
+        tags.append(np.zeros(len(ids), np.int8))
+        for low, high, a, b in windows_of(len(ids)):
+            size = -(-(high - low) // 32)
+            held.setdefault(size, []).append((k, low, a, b, ids[low:high]))
+            if len(held[size]) * size >= 1000:
                 decode(held.pop(size))
     for some in held.values():
         decode(some)
-    return [sorted(a + b, key=lambda s: (s[0], KINDS.index(s[2]), s[1])) for a, b in zip(found, added, strict=True)]
+    return tags
+
+
+def scan_texts(texts: list[str], sources: list[str | None], model: Crf | None) -> list[list[tuple[int, int, str]]]:
+    """All spans of each text, by start, then kind as listed."""
+    found = [base_spans(t) for t in texts]
+    if model is None:
+        return found
+    tags = tags_of_texts(texts, sources, model)
+    return [sorted(base + _added(t, x, base), key=lambda s: (s[0], KINDS.index(s[2]), s[1])) for t, x, base in zip(texts, tags, found, strict=True)]
 
 
 SPANS = "array<struct<kind:string,start:long,end:long>>"
