@@ -16,9 +16,12 @@ WORD_CLASS = r"[^\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none (tests)."""
+    """The folder that all executors share. Only a session that runs on one machine as a whole may name none: then one of
+    our own will do; on a cluster that is an error, as each executor would write to its own disk."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="lucerna-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -28,7 +31,38 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors, gives exact sizes."""
     path = f"{shared_dir(df.sparkSession)}/lucerna-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    held._written_at = path
+    return held
+
+
+#: Folders that ``materialise`` has written and nobody has discarded.
+_written: list[str] = []
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for tables that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "_written_at", None):
+            _delete(t.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _written:
+        _written.remove(path)
+
+
+@contextmanager
+def only(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Of all that is written inside, only the tables put into the list stay."""
+    before, kept = set(_written), []
+    yield kept
+    stay = {getattr(t, "_written_at", None) for t in kept}
+    for path in [p for p in _written if p not in before and p not in stay]:
+        _delete(spark, path)
 
 
 @contextmanager

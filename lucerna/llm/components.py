@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _forest(batches):
@@ -50,7 +50,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = _with_least(both).filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         small = _with_least(down)
-        now = materialise(small.select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(small.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct(), "edges")
+        last, now = now, materialise(small.select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(small.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct(), "edges")
+        discard(last)
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == mark or state[0] == 0:
             break

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import depth_keys, place_of, units, unpacked_place
-from .common import materialise, small_batches
+from .common import materialise, only, small_batches
 from .suffix_array import common_prefixes, suffix_array
 
 LENGTH = 200
@@ -412,7 +412,9 @@ def _compared(waiting: DataFrame, length: int) -> DataFrame:
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    first = _first_round(_packed(docs), length)
+    with only(docs.sparkSession) as kept:  # the packed texts, units and cells are done with
+        first = _first_round(_packed(docs), length)
+        kept.append(first)
     waiting = first.filter("todo is not null")
     added = _compared(waiting, length).groupBy("_d_key").agg(F.collect_list(F.struct("a", "b")).alias("added"))
     both = waiting.select("doc_id", "_d_key", "packed", "spans").join(added, "_d_key", "left").select("doc_id", "packed", "spans", "added")
