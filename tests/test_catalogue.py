@@ -6,12 +6,16 @@ from lucerna.plans import catalogue, coverage  # noqa: F401
 from .oracle import same
 
 
+#: Queries that need more labelled rows than the smallest tables have.
+LARGER = {"e_semantic_query"}
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_query_and_sql_agree(spark, sf_dir, name):
-    same(spark, sf_dir, catalogue.QUERIES[name], catalogue.ORACLES[name])
+    same(spark, sf_dir.replace("sf0.001", "sf0.01") if name in LARGER else sf_dir, catalogue.QUERIES[name], catalogue.ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES) - {"e_semantic_query", "i_rounds"}))
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
 def test_queries_without_sql_run(spark, sf_dir, name):
     assert catalogue.QUERIES[name](spark, sf_dir).count() > 0
 
