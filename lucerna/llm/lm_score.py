@@ -2,8 +2,9 @@
 
 Every word counts as itself, by a 64-bit hash. Documents are taken in blocks, in which words have numbers of their own;
 a block's different words and bigrams, with their counts, are dealt by hash to ``parts`` tables, where the counts of all
-blocks add up. The tables answer each block's n-grams (hot ones cost one entry a block, whatever their number of
-documents), and answers are joined to the block and summed per document. Only the number of words reaches the driver.
+blocks add up (through several rounds where there are more tables than ``FAN``). The tables answer each block's n-grams
+(hot ones cost one entry a block, whatever their number of documents), and answers are joined to the block and summed
+per document. Only the number of words reaches the driver.
 Sorted hashes travel as compressed differences.
 
 The score of a word after another is c(v w) / c(v) if the table of bigrams has v w, else ``backoff`` times c(w) / N; a
@@ -35,6 +36,8 @@ LEAST = 2
 BLOCK_BYTES = 8_000_000
 #: Bytes of text for each table of counts, about.
 PART_BYTES = 16_000_000
+#: Tables that a block asks at once, at most.
+FAN = 1024
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -183,23 +186,71 @@ def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(collect, BLOCK)
 
 
-def dealt(blocks: DataFrame, parts: int) -> DataFrame:
-    """The different n-grams of blocks with counts, a row for each table they go to."""
-    schema = pa.schema([("block", pa.string()), ("part", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
+_ASKED = "block string, grams binary, counts binary"
+_DEALT = pa.schema([("block", pa.string()), ("part", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
 
-    def deal(batches):
+
+def asked(blocks: DataFrame) -> DataFrame:
+    """The different n-grams of blocks, sorted, with their counts."""
+
+    def run(batches):
         for batch in batches:
             for block, vocabulary, tokens, lengths in zip(*(batch.column(k).to_pylist() for k in ("block", "vocabulary", "tokens", "lengths")), strict=True):
                 tokens = _unsqueezed(tokens)
                 keys, of_word, of_pair = _keyed(_unstepped(vocabulary), tokens, np.frombuffer(lengths, np.int64))
                 counts = np.bincount(of_pair, minlength=len(keys)) + np.bincount(of_word[tokens], minlength=len(keys))
+                row = (block, _steps(keys), _squeezed(_narrow(counts)))
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.string(), pa.binary(), pa.binary()), strict=True)], names=["block", "grams", "counts"])
+
+    return blocks.select("block", "vocabulary", "tokens", "lengths").mapInArrow(run, _ASKED)
+
+
+def dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """The n-grams of blocks (block, grams, counts), a row for each of ``parts`` tables they go to."""
+
+    def deal(batches):
+        for batch in batches:
+            for block, grams, counts in zip(*(batch.column(k).to_pylist() for k in ("block", "grams", "counts")), strict=True):
+                keys, counts = _unstepped(grams), _unsqueezed(counts)
                 cuts = _cuts(keys, parts)
                 for p in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
                     a, b = cuts[p], cuts[p + 1]
                     row = (block, p, _steps(keys[a:b]), _squeezed(_narrow(counts[a:b])))
-                    yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _DEALT, strict=True)], schema=_DEALT)
+
+    return rows.mapInArrow(deal, "block string, part int, grams binary, counts binary")
+
+
+def answered(rows: DataFrame, n_blocks: int, parts: int, width: int | None = None) -> DataFrame:
+    """block, part, totals: for each block and each table it asked, in order, the counts of all blocks.
+
+    A block of ``width`` tables' range deals to all of these at once if they are ``FAN`` at most. Else its n-grams go to
+    ``FAN`` lanes; in each lane, some ``FAN`` blocks make one, which asks in their stead and passes the answers on. So a
+    round has ``FAN`` rows a block, however many tables there are.
+    """
+    width = parts if width is None else width
+    if width <= FAN:
+        return dealt(rows, parts).groupBy("part").applyInPandas(_answer, "block string, part int, totals binary")
+    n_lanes = FAN * -(-parts // width)  # over the whole range of hashes
+    n_groups = -(-n_blocks // FAN)
+    lanes = materialise(dealt(rows, n_lanes).withColumn("group", F.pmod(F.xxhash64("block"), F.lit(n_groups))), "lanes")
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        keys, back = np.unique(np.concatenate([_unstepped(g) for g in group["grams"]]), return_inverse=True)
+        counts = np.bincount(back, np.concatenate([_unsqueezed(c) for c in group["counts"]])).astype(np.int64)
+        return pd.DataFrame({"block": [f"{group['part'].iloc[0]}:{group['group'].iloc[0]}"], "grams": [_steps(keys)], "counts": [_squeezed(_narrow(counts))]})
+
+    def pass_on(group: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        keys = np.unique(np.concatenate([_unstepped(g) for g in group["grams"]]))
+        totals = np.concatenate([_unsqueezed(t).astype(np.int64) for t in got.sort_values("part")["totals"]])
+        each = [totals[np.searchsorted(keys, _unstepped(g))] for g in group["grams"]]
+        return pd.DataFrame({"block": group["block"], "part": group["part"], "totals": [_squeezed(_narrow(t)) for t in each]})
 
-    return blocks.select("block", "vocabulary", "tokens", "lengths").mapInArrow(deal, "block string, part int, grams binary, counts binary")
+    merged = materialise(lanes.groupBy("part", "group").applyInPandas(merge, _ASKED), "merged")
+    below = answered(merged, FAN * n_groups, parts, -(-width // FAN))
+    place = F.split("block", ":")
+    named = below.select(place[0].cast("int").alias("lane"), place[1].cast("long").alias("of"), F.col("part"), "totals")
+    return lanes.groupBy("part", "group").cogroup(named.groupBy("lane", "of")).applyInPandas(pass_on, "block string, part int, totals binary")
 
 
 def _answer(asked: pd.DataFrame) -> pd.DataFrame:
@@ -222,7 +273,7 @@ def scored(docs: DataFrame, backoff: float = BACKOFF, least: int = LEAST, block_
     parts = max(1, -(-total_bytes // part_bytes))
     with small_batches(docs.sparkSession):
         blocks = materialise(blocks_of(docs, block_bytes), "blocks")
-    n_all = blocks.agg(F.sum("n_words")).first()[0] or 0
+    n_all, n_blocks = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.count("*")).first()
 
     def add_up(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         totals = np.concatenate([_unsqueezed(g).astype(np.int64) for g in theirs.sort_values("part")["totals"]] or [np.zeros(0, np.int64)])
@@ -240,7 +291,7 @@ def scored(docs: DataFrame, backoff: float = BACKOFF, least: int = LEAST, block_
         ids = pd.arrays.IntegerArray(np.frombuffer(block["ids"], np.int64).copy(), ~there)
         return pd.DataFrame({"doc_id": ids, "n_words": lengths, "score": np.bincount(doc, logs, len(lengths)), "n_backoff": np.bincount(doc, ~found & ~first, len(lengths)).astype(np.int64)})
 
-    answers = dealt(blocks, parts).groupBy("part").applyInPandas(_answer, "block string, part int, totals binary")
+    answers = answered(asked(blocks), n_blocks, parts)
     summed = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(add_up, "doc_id long, n_words long, score double, n_backoff long")
     some = F.col("n_words") > 0
     return summed.select("doc_id", "n_words", F.when(some, F.col("score")).alias("score"), F.when(some, F.col("score") / F.col("n_words")).alias("mean_score"), "n_backoff")

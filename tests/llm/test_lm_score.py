@@ -37,6 +37,16 @@ def test_matches_brute_force(spark, sf_dir, least, block_bytes, part_bytes):
         assert got[i].score == pytest.approx(score, rel=1e-9) and got[i].mean_score == pytest.approx(score / n, rel=1e-9)
 
 
+@pytest.mark.parametrize("fan", [2, 5])
+def test_many_tables_are_asked_in_rounds(spark, sf_dir, monkeypatch, fan):
+    """More tables than a block asks at once: the same counts, through two or more rounds."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = {r.doc_id: (r.score, r.n_backoff) for r in scored(docs, block_bytes=60_000, part_bytes=10**9).collect()}
+    monkeypatch.setattr(lm_score, "FAN", fan)
+    got = {r.doc_id: (r.score, r.n_backoff) for r in scored(docs, block_bytes=60_000, part_bytes=30_000).collect()}
+    assert set(got) == set(want) and all(got[i][1] == n and got[i][0] == pytest.approx(x, rel=1e-9) for i, (x, n) in want.items())
+
+
 def test_query_scores_every_document(spark, sf_dir):
     assert QUERIES["op1_lm_score"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
 
