@@ -179,7 +179,7 @@ def choose_depth(losses: list[float], n: int, step: int = 1) -> int:
 
 
 def loo_grid(labelled: pd.DataFrame, names: list[str], spark, queries: int, delta: float, step: int = 1, seed: int = 42, candidates: dict[str, list[str]] | None = None) -> DataFrame:
-    """candidate, depth, loss, penalty: the whole grid in one job, a group for each candidate's set of features.
+    """candidate, depth, loss, penalty: the whole grid in one job, a task for each candidate's set of features and depth.
 
     The labelled sample is bounded by the labelling budget, so it travels with the function.
     """
@@ -188,12 +188,13 @@ def loo_grid(labelled: pd.DataFrame, names: list[str], spark, queries: int, delt
     y = labelled["label"].to_numpy(int)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = pdf["candidate"].iloc[0]
-        rows = [(c, g.depth, *subjective_error(table[c], y, candidates[c], queries, delta, step, g, seed)) for g in depth_grid()]
+        c, g = pdf["candidate"].iloc[0], ForestConfig(depth=int(pdf["depth"].iloc[0]))
+        rows = [(c, g.depth, *subjective_error(table[c], y, candidates[c], queries, delta, step, g, seed))]
         return pd.DataFrame(rows, columns=["candidate", "depth", "loss", "penalty"])
 
-    grid = spark.createDataFrame([(c,) for c in candidates], "candidate string")
-    return grid.repartition(len(candidates), "candidate").groupBy("candidate").applyInPandas(run, "candidate string, depth int, loss double, penalty double")
+    cells = [(c, g.depth) for c in candidates for g in depth_grid()]
+    grid = spark.createDataFrame(cells, "candidate string, depth int").repartition(len(cells), "candidate", "depth")
+    return grid.groupBy("candidate", "depth").applyInPandas(run, "candidate string, depth int, loss double, penalty double")
 
 
 def propagate(rows: DataFrame, forest: Forest | None, name: str = "propagated") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import as_bool
+from ..parallel import InheritableThreadPool
 from .batches import shuffle_key
 
 RANDOM, ADAPTIVE, HYBRID = "random", "adaptive", "hybrid"
@@ -133,8 +134,10 @@ def select_sample(rows: DataFrame, row_id: str, budget: int, strategy: str, seed
         return Selection(RANDOM, tuple((i, "all", a) for i, a in _stratum(rows, row_id, budget, n, seed, None)), {"all": n})
     take = positive_count(budget, positive, negative)
     text = text if strategy == HYBRID else None
-    chosen = [(i, "positive", a) for i, a in _stratum(rows.filter(guess), row_id, take, positive, seed, text)]
-    chosen += [(i, "negative", a) for i, a in _stratum(rows.filter(~guess), row_id, budget - take, negative, seed + 1, text)]
+    sides = [("positive", guess, take, positive, seed), ("negative", ~guess, budget - take, negative, seed + 1)]
+    with InheritableThreadPool(len(sides)) as pool:
+        found = pool.map(lambda s: [(i, s[0], a) for i, a in _stratum(rows.filter(s[1]), row_id, s[2], s[3], s[4], text)], sides)
+    chosen = [c for side in found for c in side]
     return Selection(strategy, tuple(chosen), {s: k for s, k in (("positive", positive), ("negative", negative)) if k})
 
 

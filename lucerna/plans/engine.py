@@ -32,11 +32,14 @@ from ..operators.quality import Quality, bucket_quality
 from ..operators.rewrite import Candidate, arity, best_candidate, candidates, extract_rules, least_prefix
 from ..operators.sampling import Selection, select_sample, strategy_for
 from ..operators.weights import balanced_weights, beta_selectivity, objective_penalty, weighted_loss
+from ..parallel import InheritableThreadPool
 from ..sources.backends import SemanticBackend
 from ..sources.datasets import StateStore
 
 #: Pseudo-labelled rows that a forest is fitted on, at most, by default: the setting ``most_pseudo`` of an engine.
 MOST_PSEUDO = 2_000
+#: Candidates that are evaluated at once.
+PARALLEL = 4
 #: How much the penalties weigh in the static loss.
 PENALTY = 0.01
 CODE = "code__"
@@ -316,7 +319,9 @@ class Engine:
             numeric = pd.DataFrame(_matrix(held, names), columns=names).assign(label=held["label"].to_numpy(int))
             table = loo_grid(numeric, names, self.spark, n_queries, self.config.delta, self.config.loo_step, self.config.random_seed, grids)
             losses = {(r["candidate"], r["depth"]): (r["loss"], r["penalty"]) for r in table.collect()}
-        state.attempts = [self._attempt(state, c, [losses.get((str(i), d), (0.0, 0.0)) for d in (1, 2, 3)]) for i, c in enumerate(options)]
+        # candidates don't depend on each other: their jobs run side by side
+        with InheritableThreadPool(PARALLEL) as pool:
+            state.attempts = pool.map(lambda ic: self._attempt(state, ic[1], [losses.get((str(ic[0]), d), (0.0, 0.0)) for d in (1, 2, 3)]), enumerate(options))
         state.best = best_candidate([a.loss(self.config) for a in state.attempts])
 
     def _attempt(self, state: QueryState, option: Candidate, grid: list[tuple[float, float]]) -> Attempt:
