@@ -126,15 +126,22 @@ def _text(x: Any) -> str:
     return "" if x is None else x if isinstance(x, str) else str(x)
 
 
+def _number(x: Any) -> int | float:
+    """Texts are neither repeated nor formatted: a short template must not make a long text."""
+    if isinstance(x, bool) or not isinstance(x, (int, float)):
+        raise TemplateError(f"not a number: {x!r}")
+    return x
+
+
 OPERATORS: dict[str, Callable] = {
-    "~": lambda a, b: _text(a) + _text(b), "+": operator.add, "-": operator.sub, "*": operator.mul, "%": operator.mod,
+    "~": lambda a, b: _text(a) + _text(b), "+": operator.add, "-": operator.sub, "*": lambda a, b: _number(a) * _number(b), "%": lambda a, b: _number(a) % _number(b),
     "==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge,
     "in": lambda a, b: a in b, "not": operator.not_,
 }
 
 # -- lexer --------------------------------------------------------------------------------------------------------
 
-_TAG = re.compile(r"\{\{-?(.*?)-?\}\}|\{%-?(.*?)-?%\}|\{#.*?#\}", re.S)
+_TAG = re.compile(r"\{\{-?(.*?)-?\}\}|\{%-?(.*?)-?%\}|\{#-?.*?-?#\}", re.S)
 _TOKEN = re.compile(r"\s*(?:(\d+)|('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|([A-Za-z_]\w*)|(==|!=|<=|>=|[-+*%~<>|.,()\[\]=]))", re.S)
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 
@@ -267,16 +274,22 @@ def parse(source: str) -> tuple:
     """The syntax tree of a template: a tuple of nodes."""
     pieces: list[tuple[str, str]] = []
     at = 0
+    cut = False  # does the tag before trim what follows it?
     for m in _TAG.finditer(source):
-        if m.start() > at:
-            pieces.append(("text", source[at : m.start()]))
+        text = source[at : m.start()]
+        text = text.lstrip() if cut else text
+        text = text.rstrip() if m[0][2] == "-" else text
+        cut = m[0][-3] == "-"
+        if text:
+            pieces.append(("text", text))
         if m[1] is not None:
             pieces.append(("out", m[1]))
         elif m[2] is not None:
             pieces.append(("tag", m[2].strip()))
         at = m.end()
-    if at < len(source):
-        pieces.append(("text", source[at:]))
+    text = source[at:].lstrip() if cut else source[at:]
+    if text:
+        pieces.append(("text", text))
     body, at, _ = _body(pieces, 0, ())
     return body
 

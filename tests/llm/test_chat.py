@@ -34,6 +34,17 @@ def test_language():
     assert list(Template("a{% generation %}b{% endgeneration %}c").pieces()) == [("a", False), ("b", True), ("c", False)]
 
 
+def test_marks_trim_white_space():
+    assert Template("a \n {{- 'b' -}}  \n c {%- if x -%}  d  {%- endif %} e {#- note -#} f").render(x=True) == "abcd ef"
+    assert Template("a {{ 'b' }} c").render() == "a b c"
+
+
+@pytest.mark.parametrize("source", ["{{ 'x' * 1000000000 }}", "{{ '%999999999d' % 1 }}", "{{ x * 3 }}", "{{ 3 * x }}", "{{ true * 2 }}"])
+def test_only_numbers_are_multiplied(source):
+    with pytest.raises(TemplateError):
+        Template(source).render(x="text")
+
+
 def test_constants_are_folded():
     assert fold(parse("a{% if false %}x{% elif 1 < 2 %}c{% else %}d{% endif %}{{ ' D ' | trim | lower }}{{ 2 * 3 - 1 }}")) == (Text("acd5"),)
 
