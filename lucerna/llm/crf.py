@@ -41,11 +41,12 @@ class Crf:
         scores = self.emissions(ids)
         n, t_max, _ = scores.shape
         best, back = self.starts + scores[:, 0], np.zeros((n, t_max, TAGS), np.int8)
+        shortest = int(lengths.min(initial=t_max))
         for t in range(1, t_max):
             through = best[:, :, None] + self.moves
             back[:, t] = through.argmax(axis=1)
             new = through.max(axis=1) + scores[:, t]
-            best = np.where((t < lengths)[:, None], new, best)
+            best = new if t < shortest else np.where((t < lengths)[:, None], new, best)
         tags, now = np.zeros((n, t_max), np.int8), best.argmax(axis=1)
         for t in range(t_max - 1, -1, -1):
             live = t < lengths

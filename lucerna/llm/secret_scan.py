@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -46,8 +47,8 @@ MAX_PIECES = 6_000
 PIECE = 40
 #: Secrets of a document that are varied in the fit, and made-up variants of each.
 SECRETS, VARIANTS = 4, 6
-#: Tokens whose features are held, at most, and characters of those.
-HELD, HELD_CHARS = 200_000, 64
+#: Tokens whose features are held between texts, about, and their characters.
+HELD, HELD_CHARS = 300_000, 8_000_000
 EDGES = "\"'`,;()[]{}<>"
 
 _IS_HEX = np.isin(np.arange(256), [*range(48, 58), *range(97, 103)])
@@ -67,39 +68,71 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
+@lru_cache(1 << 16)
 def _id(slot: int, value: str) -> int:
     return 1 + zlib.crc32(f"{slot}:{value}".encode("utf-8", "surrogatepass")) % ((1 << HASH_BITS) - 1)
 
 
-def _own(token: str) -> tuple[int, ...]:
-    """Of a whole token: feature ids of its shape, length, mix, spread and word; numbers for its word and its shape; is it
-    of a form that prose seldom has?"""
+def _number(value: str) -> int:
+    return zlib.crc32(value.encode("utf-8", "surrogatepass"))
+
+
+def _shape(token: str) -> str:
     shape = re.sub(r"[0-9]+", "0", re.sub(r"[A-Z]+", "A", re.sub(r"[^\W\d_A-Z]+", "a", token)))
     shape = re.sub(r"(.{1,2}?)\1+", r"\1+", shape)
-    shape = shape if len(shape) <= 12 else f"{shape[:10]}~{len(shape).bit_length()}{zlib.crc32(shape[10:].encode('utf-8', 'surrogatepass')) % 8}"
-    digits, upper, lower = (sum(map(f, token)) for f in (str.isdigit, str.isupper, str.islower))
-    n = len(token)
-    mix = f"{4 * digits // n}{digits > 0}{upper > 0}{lower > 0}{min(9, n.bit_length())}"
-    spread = f"{10 * len(set(token)) // n}:{n.bit_length()}"
-    word = token.strip(".:=").lower()
-    odd = n >= 20 or digits > 0 or "=" in token or ":" in token
-    number = lambda x: zlib.crc32(x.encode("utf-8", "surrogatepass"))
-    return _id(0, shape), _id(1, str(min(40, n))), _id(2, mix), _id(3, spread), _id(4, word), number(word), number(shape), odd
+    return shape if len(shape) <= 12 else f"{shape[:10]}~{len(shape).bit_length()}{_number(shape[10:]) % 8}"
 
 
-_held: dict[str, tuple[int, ...]] = {}
+@lru_cache(1 << 14)
+def _of_shape(shape: str, n: int, digits: int, upper: bool, lower: bool) -> tuple[int, int, int, int]:
+    """Feature ids of shape, length and mix, and the shape's number."""
+    mix = f"{4 * digits // n}{digits > 0}{upper}{lower}{min(9, n.bit_length())}"
+    return _id(0, shape), _id(1, str(min(40, n))), _id(2, mix), _number(shape)
 
 
-def _of(token: str) -> tuple[int, ...]:
-    """``_own``, held for short tokens."""
-    found = _held.get(token)
-    if found is None:
-        found = _own(token)
-        if len(token) <= HELD_CHARS:
-            if len(_held) >= HELD:
-                _held.clear()
-            _held[token] = found
-    return found
+def _own(token: str) -> tuple[int, ...]:
+    """Of a whole token: feature ids of its shape, length, mix, spread and word; numbers for its word and its shape; is it
+    of a form that prose seldom has?"""
+    n, plain = len(token), token[:-1] if token[-1] == "." else token
+    capital = "A" <= token[0] <= "Z"
+    if plain.isalpha() and (plain[1:] if capital else plain).islower():  # most words, also at the end of a sentence
+        shape, size, mix, shape_number = _of_shape(("Aa" if capital else "a") + token[len(plain) :], n, 0, capital, True)
+        word, odd = plain.lower(), n >= 20
+    else:
+        digits, upper, lower = (sum(map(f, token)) for f in (str.isdigit, str.isupper, str.islower))
+        shape, size, mix, shape_number = _of_shape(_shape(token), n, digits, upper > 0, lower > 0)
+        word, odd = token.strip(".:=").lower(), n >= 20 or digits > 0 or "=" in token or ":" in token
+    number = _number(word)
+    spread = _id(3, f"{10 * len(set(token)) // n}:{n.bit_length()}")
+    return shape, size, mix, spread, 1 + (number * 0x9E3779B1 >> 12) % ((1 << HASH_BITS) - 1), number, shape_number, odd
+
+
+class _Held:
+    """What ``_own`` gives for the tokens seen lately, as rows of a table."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.rows = np.empty((1 << 12, 8), np.int64)
+        self.chars = 0
+
+    def of(self, tokens: list[str]) -> np.ndarray:
+        """Rows for each token."""
+        if len(self.place) > HELD or self.chars > HELD_CHARS:
+            self.place.clear()
+            self.chars = 0
+        place = self.place
+        for t in tokens:
+            if t not in place:
+                at = len(place)
+                if at == len(self.rows):
+                    self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+                self.rows[at] = _own(t)
+                place[t] = at
+                self.chars += len(t)
+        return self.rows[np.fromiter(map(place.__getitem__, tokens), np.int64, len(tokens))]
+
+
+_held = _Held()
 
 
 SLOTS = 14
@@ -127,22 +160,21 @@ def _shifted(x: np.ndarray, by: int) -> np.ndarray:
 def featured(text: str, source: str | None, about: str | None = None) -> np.ndarray:
     """Feature ids (token, slot) of all tokens of a text. Slots: own shape, length, mix, spread and word; words and shapes
     around; the file, its source, beginnings of lines; no feature but the bias."""
-    place: dict[str, int] = {}
-    order, begins = [], []
+    tokens, begins = [], []
     for line in text.split("\n"):
-        begins.append(len(order))
-        order += [place.setdefault(t, len(place)) for t in TOKEN.findall(line)]
-    if not order:
+        begins.append(len(tokens))
+        tokens += TOKEN.findall(line)
+    if not tokens:
         return np.zeros((0, SLOTS), np.int32)
-    own = np.array([_of(t) for t in place], np.int64)[np.array(order)]
+    own = _held.of(tokens)
     word, shape = own[:, 5].astype(np.uint64) + np.uint64(1), own[:, 6].astype(np.uint64) + np.uint64(1)
-    out = np.empty((len(order), SLOTS), np.int32)
+    out = np.empty((len(tokens), SLOTS), np.int32)
     out[:, :5] = own[:, :5]
     one, two, after = _shifted(word, 1), _shifted(word, 2), _shifted(word, -1)
     before, following = _shifted(shape, 1), _shifted(shape, -1)
     out[:, 5], out[:, 6], out[:, 7] = _joined(5, one), _joined(6, two, before), _joined(7, after)
     out[:, 8], out[:, 9] = _joined(8, before, shape), _joined(9, shape, following)
-    first = np.zeros(len(order) + 1, np.int64)
+    first = np.zeros(len(tokens) + 1, np.int64)
     first[begins] = 1
     out[:, 10] = _id(10, file_features(text, int(own[:, 7].sum())) if about is None else about)
     out[:, 11] = _id(11, source or "")
@@ -235,7 +267,7 @@ def _training_rows(batches):
             secrets = base_spans(text)
             add(text, source, secrets, real=True)
             rng = np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass")))
-            about = file_features(text, sum(_of(t)[7] for t in TOKEN.findall(text)))
+            about = file_features(text, int(_held.of(TOKEN.findall(text))[:, 7].sum()))
             if not secrets:
                 other, place = with_secret(text, rng)
                 add(other, source, [place], about if rng.random() < 0.5 else None)

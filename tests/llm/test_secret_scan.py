@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from lucerna.llm.crf import NEVER, Crf, likelihood, train
 from lucerna.llm.registry import QUERIES
-from lucerna.llm.secret_scan import SLOTS, TOKEN, _id, _own, base_spans, featured, file_features, fit, found_secrets, made_up, pieces_of, redacted, scan, scan_texts, tags_of_texts, training_documents, windows_of
+from lucerna.llm.secret_scan import SLOTS, TOKEN, _id, _number, _of_shape, _own, _shape, base_spans, featured, file_features, fit, found_secrets, made_up, pieces_of, redacted, scan, scan_texts, tags_of_texts, training_documents, windows_of
 
 from .helpers import awkward, empty
 
@@ -58,6 +58,16 @@ def test_every_token_has_its_features(text):
     assert featured(text, "s").tolist() == slow_ids(text, "s")
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet="abcABCéÉß中ª0.:-'", min_size=1, max_size=8))
+def test_words_have_the_features_of_any_token(token):
+    """The short way for plain words gives what the long one does."""
+    digits, upper, lower = (sum(map(f, token)) for f in (str.isdigit, str.isupper, str.islower))
+    want = _of_shape(_shape(token), len(token), digits, upper > 0, lower > 0)
+    got = _own(token)
+    assert (*got[:3], got[6]) == want and got[5] == _number(token.strip(".:=").lower())
+
+
 def test_long_tokens_are_read_to_their_end():
     assert _own("a" * 500) != _own("a" * 499 + "7") and _own("ab" * 300)[4] != _own("ab" * 299 + "ac")[4]
 
