@@ -29,16 +29,17 @@ class Crf:
         moves[OUTSIDE, INSIDE] = starts[INSIDE] = NEVER
         return cls(np.zeros((n_features, TAGS)), moves, starts)
 
-    def emissions(self, ids: np.ndarray) -> np.ndarray:
+    def emissions(self, ids: np.ndarray, kind: type = np.float64) -> np.ndarray:
         """Scores (..., tag) of tokens with feature ids (..., slot)."""
-        out = self.weights[ids[..., 0]].copy()
+        weights = self.weights.astype(kind)
+        out = weights.take(ids[..., 0], axis=0)
         for slot in range(1, ids.shape[-1]):  # a slot at a time: less memory than all at once
-            out += self.weights[ids[..., slot]]
+            out += weights.take(ids[..., slot], axis=0)
         return out
 
     def decode(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The best tags (chain, token) of padded chains; places beyond a chain's length are outside."""
-        scores = self.emissions(ids)
+        scores = self.emissions(ids, np.float32)
         n, t_max, _ = scores.shape
         best, back = self.starts + scores[:, 0], np.zeros((n, t_max, TAGS), np.int8)
         shortest = int(lengths.min(initial=t_max))

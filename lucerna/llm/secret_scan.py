@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -43,7 +44,7 @@ ANY_BASE = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']
 WINDOW, CONTEXT = 256, 16
 HASH_BITS = 15
 MAX_ROWS = 8_000
-MAX_PIECES = 6_000
+MAX_PIECES = 4_000
 PIECE = 40
 #: Secrets of a document that are varied in the fit, and made-up variants of each.
 SECRETS, VARIANTS = 4, 6
@@ -90,6 +91,10 @@ def _of_shape(shape: str, n: int, digits: int, upper: bool, lower: bool) -> tupl
     return _id(0, shape), _id(1, str(min(40, n))), _id(2, mix), _number(shape)
 
 
+#: Feature ids by tenths of a token's characters that differ, and its length in bits.
+_SPREAD = [[_id(3, f"{tenths}:{bits}") for bits in range(32)] for tenths in range(11)]
+
+
 def _own(token: str) -> tuple[int, ...]:
     """Of a whole token: feature ids of its shape, length, mix, spread and word; numbers for its word and its shape; is it
     of a form that prose seldom has?"""
@@ -103,7 +108,7 @@ def _own(token: str) -> tuple[int, ...]:
         shape, size, mix, shape_number = _of_shape(_shape(token), n, digits, upper > 0, lower > 0)
         word, odd = token.strip(".:=").lower(), n >= 20 or digits > 0 or "=" in token or ":" in token
     number = _number(word)
-    spread = _id(3, f"{10 * len(set(token)) // n}:{n.bit_length()}")
+    spread = _SPREAD[10 * len(set(token)) // n][min(31, n.bit_length())]
     return shape, size, mix, spread, 1 + (number * 0x9E3779B1 >> 12) % ((1 << HASH_BITS) - 1), number, shape_number, odd
 
 
@@ -112,24 +117,19 @@ class _Held:
 
     def __init__(self):
         self.place: dict[str, int] = {}
-        self.rows = np.empty((1 << 12, 8), np.int64)
+        self.numbers = array("q")
         self.chars = 0
 
     def of(self, tokens: list[str]) -> np.ndarray:
         """Rows for each token."""
         if len(self.place) > HELD or self.chars > HELD_CHARS:
-            self.place.clear()
-            self.chars = 0
-        place = self.place
-        for t in tokens:
-            if t not in place:
-                at = len(place)
-                if at == len(self.rows):
-                    self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-                self.rows[at] = _own(t)
-                place[t] = at
-                self.chars += len(t)
-        return self.rows[np.fromiter(map(place.__getitem__, tokens), np.int64, len(tokens))]
+            self.__init__()
+        for t in set(tokens).difference(self.place):
+            self.place[t] = len(self.place)
+            self.numbers.extend(_own(t))
+            self.chars += len(t)
+        rows = np.frombuffer(self.numbers, np.int64).reshape(-1, 8)
+        return rows[np.fromiter(map(self.place.__getitem__, tokens), np.int64, len(tokens))]
 
 
 _held = _Held()
