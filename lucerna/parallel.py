@@ -7,6 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from typing import TypeVar
 
 from pyspark import inheritable_thread_target
+from pyspark.sql import SparkSession
 
 A, B = TypeVar("A"), TypeVar("B")
 
@@ -24,5 +25,7 @@ class InheritableThreadPool:
         self.threads.shutdown()
 
     def map(self, f: Callable[[A], B], tasks: Iterable[A]) -> list[B]:
-        waiting = [self.threads.submit(inheritable_thread_target(f), t) for t in tasks]
+        session = SparkSession.getActiveSession()
+        run = inheritable_thread_target(session)(f) if session else f
+        waiting = [self.threads.submit(run, t) for t in tasks]
         return [w.result() for w in waiting]
