@@ -503,7 +503,17 @@ def l_loo(spark, sf_dir):
 # -- certificates and batches -------------------------------------------------------------------------------------
 
 
-@query()
+@query(
+    """
+WITH g AS (SELECT 86::BIGINT AS population, 6::BIGINT AS drawn UNION ALL SELECT count(*), 20 FROM labels),
+s AS (SELECT *, unnest([0, 1, 2])::BIGINT AS seen FROM g),
+k AS (SELECT *, unnest(range(0, population + 1)) AS k FROM s),
+t AS (SELECT k.*, i, lgamma(k.k + 1) - lgamma(i + 1) - lgamma(greatest(k.k - i, 0) + 1) + lgamma(population - k.k + 1) - lgamma(drawn - i + 1)
+             - lgamma(greatest(population - k.k - drawn + i, 0) + 1) - (lgamma(population + 1) - lgamma(drawn + 1) - lgamma(population - drawn + 1)) AS e
+      FROM k, (SELECT unnest(range(0, 3)) AS i) WHERE i <= seen),
+c AS (SELECT population, drawn, seen, k, sum(CASE WHEN i <= k AND drawn - i <= population - k THEN exp(e) ELSE 0 END) AS cdf FROM t GROUP BY ALL)
+SELECT population, drawn, seen, max(k) AS most_errors FROM c WHERE (CASE WHEN seen >= least(drawn, k) THEN 1.0 ELSE cdf END) > 0.2 GROUP BY ALL"""
+)
 def c_certificate(spark, sf_dir):
     n = table(spark, sf_dir, "labels").count()
     rows = [(m, h, x, most_errors(m, h, x, 0.2)) for m, h in ((86, 6), (n, 20)) for x in (0, 1, 2)]
